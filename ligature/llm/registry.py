@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ligature.llm import exact_dedup, simhash
+from ligature.llm import bpe, decontaminate, exact_dedup, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_bpe": bpe.op2_bpe,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_decontamination": decontaminate.ORACLE,
 }
