@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ligature.llm import bpe, decontaminate, exact_dedup, simhash
+from ligature.llm import bpe, decontaminate, exact_dedup, simhash, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
 }
 
