@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from ligature.llm import bpe, decontaminate, exact_dedup, simhash, suffix_dedup
+from ligature.llm import bpe, chat, decontaminate, exact_dedup, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_warc": warc.op10_warc,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
 }
@@ -15,4 +18,5 @@ QUERIES = {
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
