@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from ligature.plans import frames, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | frames.QUERIES
+ORACLE: dict[str, str] = relational.ORACLE | frames.ORACLE

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -23,3 +26,14 @@ def session(app: str = "ligature", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialized(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the folder of spark.checkpoint.dir and read again, which cuts its lineage."""
+    spark = df.sparkSession
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        folder = f"file://{tempfile.mkdtemp(prefix='ligature-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/ligature-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
