@@ -57,7 +57,7 @@ class Plan:
 
     def __init__(self, found: Phrases, uses: np.ndarray):
         order = [sorted(range(len(p)), key=lambda i, p=p: (uses[p[i]], i)) for p in found.phrases]
-        width = max(map(len, order), default=0)
+        width = max(map(len, order), default=1)
         rarest = np.array([p[o[0]] for p, o in zip(found.phrases, order, strict=True)], np.int64)
         by_term = np.argsort(rarest, kind="stable")
         #: For phrase, rank: term and offset, -1 past the phrase's end.

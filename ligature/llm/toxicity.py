@@ -208,7 +208,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = training_rows(docs, labels, sample).coalesce(1).mapInArrow(train, "token string, place long, value double").collect()
     rows = sorted(rows, key=lambda r: r.place)
-    rest = [r.value for r in rows if not r.token]
+    if not (rest := [r.value for r in rows if not r.token]):
+        return Model({})
     return Model({r.token: r.value for r in rows if r.token}, rest[0], rest[1], tuple(rest[2:]))
 
 

@@ -19,9 +19,11 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote_plus
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligature.llm.common import read, shared_folder, written
@@ -29,143 +31,197 @@ from ligature.llm.common import read, shared_folder, written
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Records of an archive at most: the writer begins another file then.
 RECORDS = 1000
-_HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-
-def base32(hex_digits: Column) -> Column:
-    """RFC 4648 base32 of 40 hexadecimal digits, 40 bits at a time."""
-    parts = [F.lpad(F.conv(F.substring(hex_digits, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
-    return F.translate(F.concat(*parts), _HEX32, _BASE32)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed for the way through the shuffle, with their sizes and digests."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data = [h.as_buffer().to_pybytes() for h in batch.column(2)]
+        digests = [base64.b32encode(hashlib.sha1(d).digest()).decode() for d in data]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress(d) for d in data], pa.binary()), pa.array(list(map(len, data)), pa.int64()), pa.array(digests, pa.string()), pa.array([hashlib.sha256(d).digest() for d in data], pa.binary())], names=["page_id", "url", "packed", "payload_bytes", "payload_digest", "sha256"])
 
 
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to (null for responses)."""
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), base32(F.sha1(html.cast("binary"))).alias("payload_digest"), F.sha2(html, 256).alias("sha256"))
+    """page_id, url, packed (html, zstd), payload_bytes, payload_digest, refers_to (null for responses)."""
+    ddl = "page_id long, url string, packed binary, payload_bytes long, payload_digest string, sha256 binary"
+    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_packed, ddl)
     first = rows.where(F.col("payload_bytes") >= least).groupBy("sha256", "payload_bytes").agg(F.min("page_id").alias("first"))
     rows = rows.join(first, ["sha256", "payload_bytes"], "left")
     # a null page_id is never the smallest, unless there is no other
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, F.col("first")).alias("refers_to"))
+    return rows.select("page_id", "url", "packed", "payload_bytes", "payload_digest", F.when(again, F.col("first")).alias("refers_to"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record per row, without the blank lines that end it."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for page_id, url, packed, size, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            body = unpack.decompress(packed) if refers_to is None else b""
+            head = [
+                f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Target-URI: {quote_plus(url)}",
+                f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>"]), f"Content-Length: {len(body)}",
+            ]
+            out.append(MAGIC + "\r\n".join(head) + END + body.decode())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, records: int = RECORDS) -> None:
     """One record per page, in the text files of the folder ``path``."""
-    revisit = F.col("refers_to").isNotNull()
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
-    header = F.concat(
-        F.lit(MAGIC),
-        F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\n"),
-        F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(">\r\n"),
-        F.lit("WARC-Target-URI: "), F.url_encode("url"), F.lit("\r\n"),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\n"),
-        F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\n"))).otherwise(""),
-        F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(END),
-    )
-    with_types(pages, least).select(F.concat(header, body).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+    with_types(pages, least).mapInArrow(_texts, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+
+
+_FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+_FIELDS_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+_PLACE = [("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("run", pa.int64()), ("leap", pa.int64())]
+_PLACE_DDL = "file string, block long, place long, at long, size long, reach long, run long, leap long"
+
+
+def _number(text: str) -> int | None:
+    digits = text.removeprefix("<urn:page:").removesuffix(">")
+    return int(digits) if digits.removeprefix("-").isdigit() else None
+
+
+def record(data: bytes) -> tuple[tuple, int, bytes | None]:
+    """The fields of a record without its magic, the bytes it says it has (-1: not a record), its payload."""
+    head, _, body = data.partition(b"\r\n\r\n")
+    field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+    if not field.get("content-length", "").isdecimal():
+        return (None,) * 6, -1, None
+    n = int(field["content-length"])
+    body, kind = body[:n], field.get("warc-type", "")
+    whole = kind == "response"
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else field.get("warc-payload-digest", "").removeprefix("sha1:")
+    length = n if whole else _number(field.get("x-payload-length", "")) or 0
+    told = (_number(field.get("warc-record-id", "")), field.get("warc-target-uri", ""), kind, _number(field.get("warc-refers-to", "")), length, digest)
+    return told, len(MAGIC) + len(head) + 4 + n + 4, body if whole else None
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each piece's place in its block, its bytes, and how far its record would reach (-1: no record)."""
-    at = place = 0
-    current = None
+    """A row per piece: its place in its block and, were it a record, its fields and reach.
+
+    A piece that reaches exactly to the next one is regular. A run is a stretch of regular pieces
+    and the odd one that ends it. leap is where the chain goes that enters a run: to its odd piece,
+    from there to what that reaches, or out of the block."""
+    held: list[list] = []
+
+    def flush() -> pa.RecordBatch:
+        run, leap = 0, held[-1][3] + held[-1][4]
+        for row in reversed(held):
+            odd = row[5] != row[4]
+            if odd:
+                run, leap = run + 1, row[3]
+            row[6:8] = run, leap if not odd else row[3] + row[5] if row[5] >= 0 else None
+        columns = list(zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PLACE + _FIELDS, strict=True)], names=[n for n, _ in _PLACE + _FIELDS])
+
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
         for value, file, block in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if (file, block) != current:
-                current, at, place = (file, block), 0, 0
-            data = value.as_buffer().to_pybytes()
-            head, _, _ = data.partition(b"\r\n\r\n")
-            length = -1
-            for line in head.split(b"\r\n"):
-                name, _, text = line.partition(b":")
-                if name.strip().lower() == b"content-length" and text.strip().isdigit():
-                    length = len(MAGIC) + len(head) + 4 + int(text) + 4
-            for column, v in zip(out, (file, block, place, at, length, data), strict=True):
-                column.append(v)
-            at += len(data) + len(MAGIC)
-            place += 1
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:5]), pa.array(out[5], pa.binary())], names=["file", "block", "place", "at", "reach", "data"])
+            if held and held[0][:2] != [file, block]:
+                yield flush()
+                held = []
+            data = value.as_py()
+            told, reach, _ = record(data)
+            at = held[-1][3] + held[-1][4] if held else 0
+            held.append([file, block, len(held), at, len(MAGIC) + len(data), reach, 0, 0, *told])
+    if held:
+        yield flush()
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, off (where the piece's magic stands), next (its record's successor, or null), data.
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-    The piece before a file's first magic is left out; in an archive it is empty."""
-    text = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start")
-    pieces = written(text.mapInArrow(_pieces, "file string, block long, place long, at long, reach long, data binary"), "pieces")
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """A row per place where the magic stands: file, block, place, off, next (where its record would
+    end), run, leap, and the fields of its record. The text before a file's first magic is left out."""
+    pieces = written(_scan(spark, path).mapInArrow(_pieces, f"{_PLACE_DDL}, {_FIELDS_DDL}"), "pieces")
     # a block's pieces begin where those of the file's earlier blocks end
-    blocks = pieces.groupBy("file", "block").agg(F.sum(F.octet_length("data") + len(MAGIC)).alias("size"))
+    blocks = pieces.groupBy("file", "block").agg(F.sum("size").alias("size"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
-    off = F.col("base") + F.col("at") - len(MAGIC)
-    return pieces.join(blocks, ["file", "block"]).select("file", off.alias("off"), F.when(F.col("reach") >= 0, off + F.col("reach")).alias("next"), "data").where("off >= 0")
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("size").over(earlier), F.lit(0)) - len(MAGIC)).alias("base"))
+    shifted = pieces.join(blocks, ["file", "block"])
+    columns = [(F.col("base") + F.col("at")).alias("off"), F.when(F.col("reach") >= 0, F.col("base") + F.col("at") + F.col("reach")).alias("next"), (F.col("base") + F.col("leap")).alias("leap")]
+    return shifted.select("file", "block", "place", *columns, "run", *(n for n, _ in _FIELDS)).where("off >= 0")
 
 
 def reached(found: DataFrame) -> DataFrame:
-    """file, off of the candidates on the chain from each file's start, by pointer jumping."""
-    jumps = written(found.select("file", "off", "next"), "jumps")
+    """file, off of the candidates on the chain from each file's start.
+
+    Pointer jumping over leaps finds where the chain enters runs; it passes all of a run from there."""
+    jumps = found.select("file", "off", F.col("leap").alias("next"))
     known = jumps.where("off = 0").select("file", "off")
     while True:
         known = written(known, "known")
         ahead = known.join(jumps, ["file", "off"]).select("file", F.col("next").alias("off")).where("off is not null")
-        ahead = ahead.join(jumps.select("file", "off"), ["file", "off"], "left_semi")
-        further = written(ahead, "ahead")
+        further = written(ahead.join(jumps.select("file", "off"), ["file", "off"], "left_semi").join(known, ["file", "off"], "left_anti").distinct(), "ahead")
         if further.isEmpty():
-            return known
+            break
         known = known.union(further)
         onward = jumps.select("file", F.col("off").alias("next"), F.col("next").alias("then"))
         jumps = written(jumps.join(onward, ["file", "next"], "left").select("file", "off", F.col("then").alias("next")), "jumps")
+    entered = found.join(known, ["file", "off"], "left_semi").groupBy("file", "block", "run").agg(F.min("off").alias("entry"))
+    return found.join(entered, ["file", "block", "run"]).where("off >= entry").select("file", "off")
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("warc-record-id", "warc-target-uri", "warc-type", "warc-refers-to", "warc-payload-digest", "x-payload-length")
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
-        for data in batch.column(0):
-            head, _, body = data.as_py().partition(b"\r\n\r\n")
-            field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
-            kind = field.get("warc-type", "")
-            body = body[: int(field["content-length"])]
-            whole = kind == "response"
-            digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if whole else field.get("warc-payload-digest", "").removeprefix("sha1:")
-            sized = len(body) if whole else int(field.get("x-payload-length", 0))
-            ids = [(m := field.get(n, "")[len("<urn:page:") : -1]) and m != "null" and int(m) or (0 if m == "0" else None) for n in (names[0], names[3])]
-            for column, v in zip(out, (ids[0], field.get(names[1]), kind, ids[1], sized, digest, body if whole else None), strict=True):
-                column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.string()), pa.array(out[6], pa.binary())], schema=_RECORD)
+        rows = [(*told, payload) for told, _, payload in (record(d.as_py()) for d in batch.column(0))]
+        kinds = [*_FIELDS, ("payload", pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
 
+def _with_data(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The bytes of the pieces that ``wanted`` names by file, block and place."""
 
-_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n = None, 0
+        for batch in batches:
+            places = []
+            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                current, n = (key, n + 1) if key == current else (key, 0)
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(places, pa.int64()), batch.column(0)], names=["file", "block", "place", "data"])
 
+    pieces = _scan(spark, path).mapInArrow(place, "file string, block long, place long, data binary")
+    return pieces.join(wanted, ["file", "block", "place"])
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record: page_id, url, record_type, refers_to, payload_bytes, payload_digest (both
-    of the full payload; of a response they are computed anew), payload (null for revisits)."""
-    found = candidates(spark, path)
-    places = written(found.select("file", "off", "next"), "places")
-    chain = reached(places).withColumn("real", F.lit(True))
-    # a candidate off the chain is part of the last record before it; few are, so the rest stays where it is
-    marked = places.select("file", "off").join(chain, ["file", "off"], "left")
+    of the full payload; of a response they are computed anew), and payload (null for revisits).
+
+    Without ``payloads`` the records' bytes stay in their first task, which has hashed them."""
+    found = written(candidates(spark, path), "candidates")
+    chain = reached(found).withColumn("real", F.lit(True))
+    marked = written(found.join(chain, ["file", "off"], "left"), "marked")
+    # candidates off the chain are part of the last record before them
     before = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    false = marked.withColumn("owner", F.last(F.when(F.col("real"), F.col("off")), True).over(before)).where("real is null and owner is not null").select("file", "off", "owner")
-    false = written(false, "false")
-    inner = found.join(false, ["file", "off"]).select("file", "owner", "off", "data")
-    owners = found.select("file", F.col("off").alias("owner"), "off", "data").join(false.select("file", "owner").distinct(), ["file", "owner"], "left_semi")
+    owned = marked.select("file", "block", "place", "off", "real", F.last(F.when(F.col("real"), F.col("off")), True).over(before).alias("owner"))
+    false = written(owned.where("real is null and owner is not null"), "false")
+    fields = [n for n, _ in _FIELDS]
+    records = marked.where("real")
+    if false.isEmpty() and not payloads:
+        return records.select(*fields, F.lit(None).cast("binary").alias("payload")).withColumn("url", F.url_decode("url"))
+    owners = false.select("file", F.col("owner").alias("off")).distinct()
+    if payloads:
+        wanted = owned.where("owner is not null").select("file", "block", "place", "off", "owner")
+        rest = None
+    else:
+        wanted = false.select("file", "block", "place", "off", "owner").union(records.join(owners, ["file", "off"], "left_semi").select("file", "block", "place", "off", F.col("off").alias("owner")))
+        rest = records.join(owners, ["file", "off"], "left_anti").select(*fields, F.lit(None).cast("binary").alias("payload"))
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("off", "data"))), lambda p: p.data)
     magic = F.lit(MAGIC).cast("binary")
-    joined = owners.union(inner.select("file", "owner", "off", "data")).groupBy("file", "owner").agg(F.aggregate(pieces, F.lit(None).cast("binary"), lambda a, p: F.when(a.isNull(), p).otherwise(F.concat(a, magic, p))).alias("data"))
-    whole = found.join(chain, ["file", "off"], "left_semi").join(false.select("file", F.col("owner").alias("off")).distinct(), ["file", "off"], "left_anti").select("data")
-    ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return whole.union(joined.select("data")).mapInArrow(_records, ddl).withColumn("url", F.url_decode("url"))
+    joined = _with_data(spark, path, wanted).groupBy("file", "owner").agg(F.aggregate(pieces, F.lit(None).cast("binary"), lambda a, p: F.when(a.isNull(), p).otherwise(F.concat(a, magic, p))).alias("data"))
+    read_ = joined.select("data").mapInArrow(_read, f"{_FIELDS_DDL}, payload binary")
+    return (read_ if rest is None else rest.union(read_)).withColumn("url", F.url_decode("url"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(read(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
