@@ -37,7 +37,7 @@ from ligature.llm.decontaminate import merged
 
 LENGTH, GRAM = 400, 64
 #: Windows hashed at once; representatives of a bucket that one task may hold; bytes refined at once.
-SEGMENT, CROWD, BATCH = 1 << 17, 4096, 4 << 20
+SEGMENT, CROWD, BATCH = 1 << 17, 2048, 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 
 
