@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, whole_text
+from ligature.llm.common import read, sliced, whole_text
 
 #: The pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, and words, that a worker remembers (twice so many at most), and the longest of them.
-REMEMBERED, LONGEST = 150_000, 48
+REMEMBERED, LONGEST = 60_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -111,7 +111,7 @@ class Encoder:
                     if a == limit:
                         answer = True
                         break
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 200_000:
             self.fits.clear()
         self.fits[left, right] = answer
         return answer
@@ -207,7 +207,7 @@ def default_path() -> str:
 def _coded(path: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = [], []
             for text in batch.column(1):
                 ids.append(coder.encode(text.as_py()))
@@ -230,7 +230,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x.as_py() or b"") for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")

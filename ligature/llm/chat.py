@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligature.llm.bpe import default_path
-from ligature.llm.common import read
+from ligature.llm.common import read, sliced
 
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 LEARNED = "assistant"
@@ -82,7 +82,7 @@ def masked(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list
 def _formatted(path: str):
     def format_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], []]
             for turns in batch.column(1).to_pylist():
                 text, spans = render([(t["role"], t["text"]) for t in turns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, whole_text, written
+from ligature.llm.common import read, sliced, whole_text, written
 
 WINDOW = 10
 #: Bytes of test text that one block holds; a single longer item is a block of its own.
@@ -94,7 +94,7 @@ def postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = sent.value.get
-        for batch in batches:
+        for batch in sliced(batches):
             counts, terms, places = [], [], []
             for text in batch.column(2):
                 found = words(text.as_py())
@@ -145,7 +145,7 @@ def _matched(index: DataFrame, plan: Plan) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             begins, ends, items = [], [], []
             for n, terms, places in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 phrase, start = plan.find(terms.values.to_numpy().astype(np.int64), places.values.to_numpy().astype(np.int64), n)

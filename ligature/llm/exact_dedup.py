@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, splitmix, whole_text, written
+from ligature.llm.common import read, sliced, splitmix, whole_text, written
 
 GEAR = np.array(splitmix(256), dtype=np.uint64)
 #: Chunk sizes in bytes: no cut before LEAST, one at MOST at the latest, one in 2**BITS places.
@@ -51,7 +51,7 @@ def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = BITS) ->
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[] for _ in _PASS]
         for uid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = text.encode().translate(None, _SPACES)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read
+from ligature.llm.common import read, sliced
 from ligature.llm.toxicity import logistic
 
 #: Element names of the HTML standard by what they mean here.
@@ -310,7 +310,7 @@ def html_main(pages: DataFrame) -> DataFrame:
     weights = train()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [" ".join(content(p.as_py(), weights)) for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

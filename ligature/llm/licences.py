@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, whole_text
+from ligature.llm.common import read, sliced, whole_text
 from ligature.llm.decontaminate import words
 
 #: Licence families and usual notices of each.
@@ -150,7 +150,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             found = [[{"paragraph": i, "family": f, "probability": p} for i, f, p in model.families_in(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64()), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "found"])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import LOWER_SPACED, read, whole_text, written
+from ligature.llm.common import LOWER_SPACED, read, sliced, whole_text, written
 from ligature.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -107,7 +107,7 @@ def keys(prints: np.ndarray) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 

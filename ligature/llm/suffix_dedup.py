@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, splitmix, whole_text, written
+from ligature.llm.common import read, sliced, splitmix, whole_text, written
 from ligature.llm.decontaminate import merged
 
 LENGTH, GRAM = 400, 64
@@ -164,7 +164,7 @@ def stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each representative run of a document."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[], [], [], [], []]
         for uid, packed, reps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = unpack.decompress(packed.as_py())
@@ -203,7 +203,7 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for uid, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             data = np.frombuffer(data.as_py(), np.uint8)
             at = np.arange(len(data) - LENGTH + 1)
@@ -214,13 +214,13 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the way through the shuffle."""
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in sliced(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], names=["uid", "doc_id", "packed"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[], [], [], [], []]
         for doc_id, packed, covered in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             data = unpack.decompress(packed.as_py())

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, whole_text
+from ligature.llm.common import read, sliced, whole_text
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
@@ -39,7 +39,7 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 STEMS = (3, 4, 5)
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def tokens(word: str) -> tuple[str, ...]:
     return (f"{word}$", *(word[:n] for n in STEMS if len(word) >= n))
 
@@ -82,7 +82,7 @@ class Model:
             if (s := memory.get(w)) is None:
                 found = [o for t in tokens(w) if (o := look(t)) is not None]
                 s = max(found, key=abs) if found else 0.0
-                if len(memory) > 300_000:
+                if len(memory) > 100_000:
                     memory.clear()
                 memory[w] = s
             if s > 0:
@@ -220,7 +220,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("strength", pa.float64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             scores, found = [], []
             for text in batch.column(1):
                 text = text.as_py()

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, shared_folder, written
+from ligature.llm.common import read, shared_folder, sliced, written
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Records of an archive at most: the writer begins another file then.
@@ -35,7 +35,7 @@ RECORDS = 1000
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Payloads compressed for the way through the shuffle, with their sizes and digests."""
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in sliced(batches):
         data = [h.as_buffer().to_pybytes() for h in batch.column(2)]
         digests = [base64.b32encode(hashlib.sha1(d).digest()).decode() for d in data]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress(d) for d in data], pa.binary()), pa.array(list(map(len, data)), pa.int64()), pa.array(digests, pa.string()), pa.array([hashlib.sha256(d).digest() for d in data], pa.binary())], names=["page_id", "url", "packed", "payload_bytes", "payload_digest", "sha256"])
@@ -55,7 +55,7 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record per row, without the blank lines that end it."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for page_id, url, packed, size, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             body = unpack.decompress(packed) if refers_to is None else b""
