@@ -76,7 +76,7 @@ class Duck(Spark):
         return f"list_filter({x}, lambda w: regexp_matches(w, '{pattern}'))"
 
     def split(self, x: str, sep: str) -> str:
-        return f"string_split({x}, '{sep.replace(chr(92), '')}')"
+        return f"string_split({x}, '{sep.strip('[]')}')"
 
     def item(self, x: str, i: int) -> str:
         return f"({x})[{i + 1}]"
