@@ -144,7 +144,7 @@ def token_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> di
 def fit(texts: list[str], labels: list[int]) -> Model:
     """The model of a bounded list of labelled texts. Half of them (by hash) give the tokens, both
     halves take turns, so that calibration sees texts that its tokens don't come from."""
-    rows = sorted(dict(zip(texts, labels, strict=True)).items())
+    rows = sorted(dict(sorted(zip(texts, labels, strict=True))).items())
     parts = [[r for r in rows if zlib.crc32(r[0].encode()) % 2 == h] for h in (0, 1)]
 
     def counted(part: list[tuple[str, int]]) -> tuple[dict, int, int]:
@@ -190,7 +190,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", whole_text()).join(known, "doc_id").select("text", "toxic")
+    # at most ``sample`` ids and labels: a bounded broadcast, so that no other text is moved
+    return docs.select("doc_id", whole_text()).join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -206,7 +207,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         values = [*m.odds.values(), m.k, m.decay, *m.weights]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(range(len(names)), pa.int64()), pa.array(values, pa.float64())], names=["token", "place", "value"])
 
-    rows = training_rows(docs, labels, sample).coalesce(1).mapInArrow(train, "token string, place long, value double").collect()
+    rows = training_rows(docs, labels, sample).repartition(1).mapInArrow(train, "token string, place long, value double").collect()
     rows = sorted(rows, key=lambda r: r.place)
     if not (rest := [r.value for r in rows if not r.token]):
         return Model({})
