@@ -6,6 +6,9 @@ scalars reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +51,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = materialized(labels.join(hooks, labels.component == hooks.old, "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(source, node, distance): breadth-first levels over directed edges from each row of
-    ``sources`` (source), at most ``depth`` steps."""
+    ``sources`` (source), or from every node; until no node is new, or at most ``depth`` steps."""
     links = materialized(edges.select("u", "v").distinct(), "links")
+    if sources is None:
+        sources = both_ways(links).select(F.col("u").alias("source")).distinct()
     known = materialized(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("distance")), "known")
     front = known
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         reach = front.join(links, front.node == links.u).select("source", F.col("v").alias("node")).distinct()
         front = materialized(reach.join(known.select("source", "node"), ["source", "node"], "left_anti").withColumn("distance", F.lit(step)), "front")
         if front.isEmpty():
@@ -63,8 +68,9 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     return known
 
 
-def closeness(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """(node, closeness) of each source over undirected edges, scaled by the share it reaches."""
+def closeness(edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(node, closeness) of each source, or of every node, over undirected edges, scaled by the share
+    it reaches."""
     links = both_ways(edges)
     n = links.select("u").distinct().count()
     found = distances(links, sources, depth).where("distance > 0").groupBy("source").agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
@@ -86,14 +92,25 @@ def simple_paths(edges: DataFrame, start: int, end: int, cutoff: int) -> DataFra
     return found
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """(node, betweenness): shortest paths from each source that pass a node, by Brandes' counts:
-    shortest-path counts level by level outwards, then dependencies level by level inwards."""
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None, block: int = 4096) -> DataFrame:
+    """(node, betweenness): shortest paths from each source, or from every node, that pass a node, of
+    any length or at most ``depth`` steps. Sources go in blocks of about ``block``, whose sums add up."""
     links = materialized(both_ways(edges), "links")
+    if sources is None:
+        sources = links.select(F.col("u").alias("source")).distinct()
+    sources = materialized(sources.select("source"), "sources")
+    blocks = max(1, -(-sources.count() // block))
+    parts = [_dependencies(links, sources.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == i), depth) for i in range(blocks)]
+    return reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame, depth: int | None) -> DataFrame:
+    """(node, betweenness) from ``sources``, by Brandes' counts: shortest-path counts level by level
+    outwards, then dependencies level by level inwards."""
     front = materialized(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("level"), F.lit(1.0).alias("paths")), "front")
     levels = [front]
     known = front.select("source", "node")
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         reach = front.join(links, front.node == links.u).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
         front = materialized(reach.join(known, ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("level"), "paths"), "front")
         if front.isEmpty():
@@ -110,7 +127,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
         below = x.join(upper.select("source", "node", "paths"), ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("paths_w") * (1 + F.col("carried"))).alias("carried"))
     if total is None:
         return sources.select(F.col("source").alias("node"), F.lit(0.0).alias("betweenness")).limit(0)
-    return total.groupBy("node").agg(F.sum("carried").alias("betweenness"))
+    return materialized(total.groupBy("node").agg(F.sum("carried").alias("betweenness")), "betweenness")
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

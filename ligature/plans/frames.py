@@ -88,7 +88,7 @@ def closeness(spark, sf_dir):
 
 
 def betweenness(spark, sf_dir):
-    return graph.betweenness(edges(spark, sf_dir), _sources(spark, sf_dir), 4).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return graph.betweenness(edges(spark, sf_dir)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 def communities(spark, sf_dir):

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ligature.operators import fusion, graph, learning, text
-from ligature.plans import catalog
+from ligature.plans import catalog, frames
 
 SF = "/root/testdata/sf0.001"
 SOME = ["cooc_pmi", "edge_confidence", "edge_fusion", "flagship_fused_pairs", "graph_summary", "phase_rollup", "score_percentile_tier", "average_precision", "roc_auc_rank", "remap_edges", "canonicalize_synonyms", "map_relation_type", "relkey_parse", "sentence_split", "provenance_indexed", "greedy_chunks", "connected_components", "lp_adamic_adar", "modularity_given_labels", "seed_regex_extract"]
@@ -63,6 +63,53 @@ def test_graph_measures(spark):
     assert sorted(r.path for r in graph.simple_paths(edges, 1, 4, 4).collect()) == [[1, 2, 3, 4], [1, 3, 4]]
 
 
+def brute_centrality(pairs):
+    """Distances by source, and Brandes' betweenness over ordered pairs, of an undirected graph."""
+    near, reached, passed = {}, {}, {}
+    for u, v in pairs:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    for s in near:
+        far, paths, order = {s: 0}, {s: 1}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in far:
+                    far[y], paths[y] = far[x] + 1, 0
+                    order.append(y)
+                if far[y] == far[x] + 1:
+                    paths[y] += paths[x]
+        own = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if far[x] == far[y] - 1:
+                    own[x] += paths[x] / paths[y] * (1 + own[y])
+            if y != s:
+                passed[y] = passed.get(y, 0) + own[y]
+        reached[s] = far
+    return reached, passed
+
+
+def test_centrality_takes_all_nodes_and_any_distance(spark):
+    pairs = [(i, i + 1) for i in range(1, 12)] + [(3, 20), (20, 5), (30, 31)]
+    reached, passed = brute_centrality(pairs)
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    for block in (4096, 4):
+        got = {r.node: r.betweenness for r in graph.betweenness(edges, block=block).collect()}
+        assert got.keys() == passed.keys() and all(abs(got[n] - passed[n]) < 1e-9 for n in got)
+    both = graph.both_ways(edges)
+    assert {(r.source, r.node): r.distance for r in graph.distances(both).collect()} == {(s, n): d for s, far in reached.items() for n, d in far.items()}
+    r, d = {s: len(far) - 1 for s, far in reached.items()}, {s: sum(far.values()) for s, far in reached.items()}
+    got = {x.node: x.closeness for x in graph.closeness(edges).collect()}
+    assert got.keys() == r.keys() and all(abs(got[s] - r[s] / d[s] * r[s] / (len(r) - 1)) < 1e-9 for s in got)
+
+
+def test_betweenness_query_scores_every_node(spark):
+    e = [(r.u, r.v) for r in frames.edges(spark, SF).collect()]
+    want = brute_centrality(e)[1]
+    got = {r.node: r.betweenness for r in catalog.QUERIES["betweenness"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-5 for n in got)
+
+
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "score double, y int")
     assert learning.roc_auc(df).first()[0] == 0.875
