@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ligature.llm import bpe, common, decontaminate, exact_dedup, simhash, toxicity
+from ligature.llm import bpe, common, decontaminate, exact_dedup, near_copies, toxicity
 
 #: Documents of at least this score go: more sure than a mere prediction, so that clean ones stay.
 TOXIC = 0.5
@@ -38,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(docs)
+    groups = near_copies.near_groups(docs)
     return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
@@ -55,12 +55,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_benchmark),
     ("bpe_encoding", encode),
 ]
 
-#: The trained first stage, fingerprints and tokens aren't expressible in SQL; see tests/llm.
+#: The trained first stage, shingles and tokens aren't expressible in SQL; see tests/llm.
 ORACLE_SQL = None
 
 

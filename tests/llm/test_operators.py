@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ligature.llm import bpe, chat, common, components, decontaminate, exact_dedup, html_main, licences, simhash, suffix_dedup, toxicity
+from ligature.llm import bpe, chat, common, components, decontaminate, exact_dedup, html_main, licences, near_copies, simhash, suffix_dedup, toxicity
 
 R = random.Random(5)
 WORDS = ["".join(R.choice("abcdefghij") for _ in range(R.randint(1, 7))) for _ in range(400)]
@@ -178,6 +178,43 @@ def test_golay_links_are_complete_and_single(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def brute_near_groups(texts):
+    """Component by document of pairs with five-word Jaccard of 0.8 or more, and the number of such pairs."""
+    words = [(t or "").encode().translate(common.LOWER_SPACED).split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label, pairs
+
+
+def test_near_copies_are_all_pairs_at_four_fifths(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    r, texts = random.Random(8), list(TEXTS)
+    line = say(25)
+    for _ in range(25):
+        w = say(r.randint(30, 200)).split() + line.split() * (r.random() < 0.5)
+        texts.append(" ".join(w))
+        for _ in range(3):
+            w = list(w)
+            for _ in range(r.randint(1, 4)):
+                w[r.randrange(len(w))] = say(1)
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    label, pairs = brute_near_groups(texts)
+    far = [1 for a, b in pairs if (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() > 3]
+    assert len(far) > 5
+    for sampled in (near_copies.SAMPLED, 1):
+        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+        assert {x.doc_id: x.component_id for x in near_copies.near_groups(docs).collect()} == dict(enumerate(label))
+    assert {x.doc_id for x in p.drop_near_copies(spark, docs, "").collect()} == set(label)
+    assert near_copies.near_groups(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
