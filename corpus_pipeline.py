@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ligature.llm import bpe, common, decontaminate, exact_dedup, near_copies, toxicity
 
-#: Documents of at least this score go: more sure than a mere prediction, so that clean ones stay.
-TOXIC = 0.5
+#: Documents of at least this score go: those that the operator predicts toxic.
+TOXIC = toxicity.THRESHOLD
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:

@@ -237,6 +237,17 @@ def test_toxicity(spark):
     assert set(x.score for x in toxicity.toxicity(docs, toxicity.trained(docs, labels.limit(0))).collect()) == {0.0}
 
 
+def test_pipeline_drops_all_that_the_operator_predicts_toxic(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as p
+
+    scored = spark.createDataFrame([(1, 0.0), (2, 0.29), (3, toxicity.THRESHOLD), (4, 0.4), (5, 0.9)], "doc_id long, score double")
+    docs = spark.createDataFrame([(i, "x") for i in range(1, 6)], "doc_id long, text string")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "trained", lambda *_: None)
+    monkeypatch.setattr(toxicity, "toxicity", lambda *_: scored)
+    assert {r.doc_id for r in p.drop_toxic(spark, docs, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_segments_are_maximal():
     r = random.Random(4)
     for _ in range(50):
