@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,12 +62,27 @@ def provenance(claims: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
 
+def best_ratio(evidence: str | None, found: Iterable[str] | None) -> float:
+    """The highest sequence-matching ratio over all sentences, 1 if one holds the evidence, 0 if there
+    is nothing to compare. Sentences whose upper bounds don't exceed the best are passed over."""
+    wanted, best = (evidence or "").lower().strip(), 0.0
+    lowered = [s.lower() for s in found if s] if wanted and found is not None else []
+    if any(wanted in s for s in lowered):
+        return 1.0
+    held = Counter(wanted)
+    for s in lowered:
+        size = len(wanted) + len(s)
+        if 2.0 * min(len(wanted), len(s)) / size > best and 2.0 * (held & Counter(s)).total() / size > best:
+            best = max(best, difflib.SequenceMatcher(None, wanted, s).ratio())
+    return best
+
+
 def fuzzy_evidence(claims: DataFrame, least: float = 0.7) -> DataFrame:
     """Claims (claim, evidence, found) with the best sequence-matching ratio over the sentences."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            best = [max([1.0 if e.lower() in s.lower() else difflib.SequenceMatcher(None, e.lower(), s.lower()).ratio() for s in found], default=0.0) for e, found in zip(pdf["evidence"], pdf["found"], strict=True)]
+            best = [best_ratio(e, found) for e, found in zip(pdf["evidence"], pdf["found"], strict=True)]
             yield pd.DataFrame({"claim": pdf["claim"], "similarity": best, "valid": [b >= least for b in best]})
 
     return claims.mapInPandas(match, "claim long, similarity double, valid boolean")

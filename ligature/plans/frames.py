@@ -202,8 +202,8 @@ _EVIDENCE = f"""select claim, coalesce(string_agg(sentence, ' ' order by k), '')
 
 
 def evidence_fuzzy(spark, sf_dir):
-    found = articles(spark, sf_dir).select(F.col("pmid").alias("claim"), text.sentences().alias("found")).where("size(found) > 0")
-    return text.fuzzy_evidence(found.select("claim", F.concat(F.substring(F.get("found", F.lit(0)), 1, 60), F.lit(" x")).alias("evidence"), F.slice("found", 1, 3).alias("found")))
+    found = articles(spark, sf_dir).select(F.col("pmid").alias("claim"), text.sentences().alias("found"))
+    return text.fuzzy_evidence(found.select("claim", F.concat(F.get("found", F.lit(0)), F.lit(" x")).alias("evidence"), "found"))
 
 
 def prompt_assembly(spark, sf_dir):

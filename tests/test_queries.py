@@ -1,5 +1,6 @@
 """Queries against their SQL oracles, and operators on hand-made rows."""
 
+import difflib
 import glob
 import math
 import os
@@ -110,6 +111,28 @@ def test_betweenness_query_scores_every_node(spark):
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-5 for n in got)
 
 
+def best_by_difflib(evidence, found):
+    e = (evidence or "").lower()
+    return max([1.0 if e in s.lower() else difflib.SequenceMatcher(None, e, s.lower()).ratio() for s in found], default=0.0) if e else 0.0
+
+
+def test_fuzzy_evidence_searches_all_sentences(spark):
+    late = [f"Sentence number {i} tells of other things." for i in range(9)] + ["BRCA1 binds to RAD51 in the nucleus of the cell."]
+    rows = [(1, "brca1 binds RAD51 in the nucleus of a cell", late), (2, "BRCA1 binds to RAD51", late), (3, "anything", []), (4, None, late), (5, "", late), (6, "x", None)]
+    got = {r.claim: (r.similarity, r.valid) for r in text.fuzzy_evidence(spark.createDataFrame(rows, "claim long, evidence string, found array<string>")).collect()}
+    assert got[1] == (best_by_difflib(rows[0][1], late), True) and got[1][0] > best_by_difflib(rows[0][1], late[:3])
+    assert got[2] == (1.0, True) and all(got[i] == (0.0, False) for i in (3, 4, 5, 6))
+
+
+def test_evidence_fuzzy_query_keeps_every_text(spark):
+    found = {r.pmid: r.found for r in frames.articles(spark, SF).select("pmid", text.sentences().alias("found")).collect()}
+    got = {r.claim: (r.similarity, r.valid) for r in catalog.QUERIES["evidence_fuzzy"](spark, SF).collect()}
+    assert got.keys() == found.keys()
+    for pmid in sorted(found)[:60]:
+        want = best_by_difflib(found[pmid][0] + " x" if found[pmid] else None, found[pmid])
+        assert got[pmid] == (want, want >= 0.7)
+
+
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "score double, y int")
     assert learning.roc_auc(df).first()[0] == 0.875
