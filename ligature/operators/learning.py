@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ligature.operators.graph import both_ways
 
+#: Draws of a degree-matched pair for each edge.
+DRAWS = 8
+
 
 def hadamard(a: str = "a", b: str = "b") -> Column:
     return F.zip_with(a, b, lambda x, y: x.cast("double") * y)
@@ -36,7 +39,8 @@ def two_hop_negatives(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def degree_matched_negatives(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` non-edges whose endpoints' degree buckets, floor(log2(d + 1)), repeat those of edges."""
+    """``n`` non-edges whose endpoints' degree buckets, floor(log2(d + 1)), repeat those of edges; where
+    first draws give edges or repeats, further draws for the same edges fill up."""
     degree = both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.floor(F.log2(F.count("*") + 1)).alias("bucket"))
     from pyspark.sql import Window
 
@@ -46,11 +50,13 @@ def degree_matched_negatives(edges: DataFrame, n: int, seed: int = 42) -> DataFr
     for end, name in (("u", "bu"), ("v", "bv")):
         e = e.join(degree.select(F.col("node").alias(end), F.col("bucket").alias(name)), end)
         e = e.join(sizes.select(F.col("bucket").alias(name), F.col("size").alias(f"n{name}")), name)
-    e = e.select("u", "v", "bu", "bv", F.pmod(F.xxhash64("u", "v", F.lit(seed + 1)), "nbu").alias("pu"), F.pmod(F.xxhash64("u", "v", F.lit(seed + 2)), "nbv").alias("pv"))
+    e = e.crossJoin(F.broadcast(edges.sparkSession.range(DRAWS).withColumnRenamed("id", "draw")))
+    place = lambda k: F.xxhash64("u", "v", (2 * F.col("draw") + seed + k).cast("int"))
+    e = e.select("draw", "bu", "bv", F.pmod(place(1), "nbu").alias("pu"), F.pmod(place(2), "nbv").alias("pv"))
     a = placed.select(F.col("node").alias("a"), F.col("bucket").alias("bu"), F.col("place").cast("long").alias("pu"))
     b = placed.select(F.col("node").alias("b"), F.col("bucket").alias("bv"), F.col("place").cast("long").alias("pv"))
-    pairs = e.join(a, ["bu", "pu"]).join(b, ["bv", "pv"]).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    return pairs.join(edges.select("u", "v"), ["u", "v"], "left_anti").orderBy("u", "v").limit(n)
+    pairs = e.join(a, ["bu", "pu"]).join(b, ["bv", "pv"]).where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("draw").alias("draw"))
+    return pairs.join(edges.select("u", "v"), ["u", "v"], "left_anti").orderBy("draw", "u", "v").limit(n).select("u", "v")
 
 
 def combined_negatives(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -139,7 +139,7 @@ def eval_strategies(spark, sf_dir):
     deg = graph.both_ways(e).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("d"))
     out = None
     for name, f in (("random", learning.random_negatives), ("two_hop", learning.two_hop_negatives), ("degree", learning.degree_matched_negatives), ("combined", learning.combined_negatives)):
-        rows = e.select("u", "v", F.lit(1).alias("y")).union(f(e, min(n, 3000)).select("u", "v", F.lit(0)))
+        rows = e.select("u", "v", F.lit(1).alias("y")).union(f(e, n).select("u", "v", F.lit(0)))
         rows = rows.join(deg.withColumnsRenamed({"node": "u", "d": "du"}), "u").join(deg.withColumnsRenamed({"node": "v", "d": "dv"}), "v").select((F.col("du") * F.col("dv")).alias("score"), "y")
         row = learning.roc_auc(rows).select(F.lit(name).alias("strategy"), F.round("auc", 6).alias("auc"))
         out = row if out is None else out.union(row)

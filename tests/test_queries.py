@@ -133,6 +133,16 @@ def test_evidence_fuzzy_query_keeps_every_text(spark):
         assert got[pmid] == (want, want >= 0.7)
 
 
+def test_each_strategy_has_a_negative_for_each_edge(spark, monkeypatch):
+    some = "/root/testdata/sf0.01"
+    e, seen, auc = frames.edges(spark, some), [], learning.roc_auc
+    n = e.count()
+    assert n > 3000 and learning.degree_matched_negatives(e, n).join(e, ["u", "v"]).isEmpty()
+    monkeypatch.setattr(learning, "roc_auc", lambda rows: seen.append({r.y: r["count"] for r in rows.groupBy("y").count().collect()}) or auc(rows))
+    assert catalog.QUERIES["eval_strategies"](spark, some).count() == 4
+    assert seen == [{1: n, 0: n}] * 4
+
+
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "score double, y int")
     assert learning.roc_auc(df).first()[0] == 0.875
