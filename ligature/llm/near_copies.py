@@ -85,14 +85,19 @@ def _sizes_fit(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of set digests that are similar enough, by their whole sets."""
+    """The ``pairs`` (a, b) of set digests that are similar enough, by their whole sets. Pairs too far
+    apart for what their prefixes share go first: what one shares beyond its prefix is at most its rest."""
+    held = classes.select("fp", "n", "keys")
+    both = pairs.join(held.toDF("a", "na", "x"), "a").join(held.toDF("b", "nb", "y"), "b")
+    most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
+    pairs = written(both.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "possible")
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = classes.join(needed, "fp").select(F.col("least").alias("_id")).distinct()
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", whole_text())
-    sets = written(rows.mapInArrow(_sets, "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
+    sets = written(rows.mapInArrow(_sets, "fp long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return written(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+    return written(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), "similar")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
