@@ -23,8 +23,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Where the session names none, a folder of our own on a local
+    master; on a cluster that would be a different disk for each executor, so it is an error."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ligature-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/ligature-{spark.sparkContext.applicationId}"
@@ -34,10 +37,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """uid and row (all columns of ``docs``), written. Numbers depend on how the input is split, and the
+    split on the executors of the moment, so every later step reads the numbers written here."""
+    return written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "numbered")
+
+
+def texts_of(base: DataFrame) -> DataFrame:
+    """uid, doc_id and text (null: empty) of a ``numbered`` table."""
+    return base.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), whole_text("row.text"))
+
+
+def without(base: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a ``numbered`` table but those whose uid ``dropped`` lists, with their own columns.
+
+    The list is written first: the planner knows its size and broadcasts it only if it is small."""
+    return base.join(written(dropped.select("uid").distinct(), "dropped"), "uid", "left_anti").select("row.*")
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every intermediate that this application has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -5,19 +5,21 @@ The suffixes of the corpus are sorted only as far as LENGTH bytes and only where
 1. Every window of LENGTH bytes picks its anchor, the q-gram of least hash in it (the leftmost of
    equals). Equal windows pick equal anchors, so the anchors' q-grams are the initial buckets; a
    bucket of one anchor holds no repeated window. A run is a stretch of windows with one anchor.
-2. Runs with equal context (all bytes of their windows) are repeated as a whole. One run of each
-   such class stays as a representative; nothing else is left in most buckets.
+2. Runs whose contexts (all bytes of their windows) have one 128-bit BLAKE2 digest are repeated as a
+   whole. One run of each such class stays as a representative.
 3. In buckets of several classes the representatives' windows are told apart by bucket-pointer
    refinement: positions are grouped by their first 8 bytes, then by their own bucket and that
    of the position 8, 16, ... bytes on, until the buckets stand for LENGTH bytes. Each round uses
-   the buckets that the last one left; positions alone in theirs drop out. Buckets are compared,
-   not hashes, and a task holds some whole buckets of step 1 at a time.
-   A bucket of over CROWD representatives isn't brought together: its windows' 128-bit hashes are
-   counted over the cluster instead.
+   the buckets that the last one left; positions alone in theirs drop out. A task holds some whole
+   buckets of step 1 at a time.
+   A bucket of over CROWD representatives is first refined over the cluster: by the bucket of all
+   whole q-grams that its windows hold on both sides of the anchor, then by that of the whole
+   window. Those buckets' identifiers are 128-bit BLAKE2 digests; stretches alone in theirs drop
+   out after the first. Results don't depend on CROWD.
 
 Null counts as empty; texts under LENGTH bytes are kept as they are. Matches don't cross documents.
-Rows are told apart by their place in the input, so repeated rows and null doc_ids do no harm; the
-input must give its rows in the same order when read again, as files do.
+Rows are numbered once and written with their numbers, so repeated rows, null doc_ids and a new
+split of the input at a later scan do no harm.
 """
 
 from __future__ import annotations
@@ -57,20 +59,17 @@ def _tables(base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Odd constants of multiplicative hashing.
-BASES, MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 class Sums:
-    """Hashes of any substring of a segment in constant time."""
+    """Prefix sums that give the hash of any substring of a segment in constant time."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
-        values, powers, self.inverse = _tables(base)
+    def __init__(self, data: np.ndarray):
+        values, powers, self.inverse = _tables(BASE)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * powers[: len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """The least value of each window of ``width``."""
@@ -83,7 +82,7 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of a document by segment: first window, last window, hash of the anchor, of the context."""
+    """Runs of a document by segment: first window, last window, hash of the anchor, its position."""
     for at in range(0, len(data) - length + 1, SEGMENT):
         part = data[at : at + SEGMENT + length - 1]
         sums, n = Sums(part), len(part) - gram + 1
@@ -95,15 +94,26 @@ def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterato
         new = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
         first, last = np.concatenate(([0], new)), np.concatenate((new - 1, [len(anchors) - 1]))
         anchor = anchors[first].astype(np.int64)
-        context = sums.of(first, last + length) * MIX ^ ((last - first) << 10 | (anchor - first)).astype(np.uint64)
-        yield first + at, last + at, grams[anchor], context
+        yield first + at, last + at, grams[anchor], anchor + at
+
+
+def digests(data: memoryview, starts: list[int], ends: list[int]) -> np.ndarray:
+    """128-bit digests of slices, as two columns of longs."""
+    return np.frombuffer(b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)), "<i8").reshape(-1, 2)
+
+
+_RUN = "uid long, run long, gram long, c1 long, c2 long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-            for first, last, gram, context in runs_of(np.frombuffer(text.as_py().encode(), np.uint8)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), uid, np.int64)), pa.array(first << 17 | (last - first)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=["uid", "run", "gram", "context"])
+    unpack = zstandard.ZstdDecompressor()
+    for batch in sliced(batches):
+        for uid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = unpack.decompress(packed.as_py())
+            for first, last, gram, _ in runs_of(np.frombuffer(data, np.uint8)):
+                context = digests(memoryview(data), first.tolist(), (last + LENGTH).tolist())
+                columns = (np.full(len(first), uid, np.int64), first << 17 | (last - first), gram.view(np.int64), context[:, 0], context[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "run", "gram", "c1", "c2"])
 
 
 def _together(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -202,20 +212,50 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of the windows of rows (gram, uid, first, bytes) that hold the same whole grams about
+    their anchor, with the bucket of all those grams."""
+    for batch in sliced(batches):
+        out: list[list] = [[], [], [], [], [], [], []]
+        for gram, uid, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            anchor = int(next(runs_of(np.frombuffer(data, np.uint8)))[3][0])
+            offset = anchor - np.arange(len(data) - LENGTH + 1)
+            left, right = offset // GRAM, (LENGTH - offset) // GRAM
+            new = np.flatnonzero((np.diff(left) != 0) | (np.diff(right) != 0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(offset)], strict=True):
+                key = digests(memoryview(data), [anchor - GRAM * int(left[a])], [anchor + GRAM * int(right[a])])[0].tolist()
+                for column, value in zip(out, (gram, int(left[a]), *key, uid, first + a, data[a : b - 1 + LENGTH]), strict=True):
+                    column.append(value)
+        kinds = [*[pa.int64()] * 6, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["gram", "side", "p1", "p2", "uid", "first", "bytes"])
+
+
+def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         for uid, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            data = np.frombuffer(data.as_py(), np.uint8)
+            data = data.as_py()
             at = np.arange(len(data) - LENGTH + 1)
-            h = [pa.array(Sums(data, base).of(at, at + LENGTH).view(np.int64)) for base in BASES]
-            yield pa.RecordBatch.from_arrays([*h, pa.array(np.full(len(at), uid, np.int64)), pa.array(at + first)], names=["h1", "h2", "uid", "first"])
+            d = digests(memoryview(data), at.tolist(), (at + LENGTH).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.full(len(at), uid, np.int64)), pa.array(at + first)], names=["h1", "h2", "uid", "first"])
+
+
+def _crowded(contexts: DataFrame) -> DataFrame:
+    """Repeated windows of the buckets that no task should hold: refined over the cluster."""
+    key = ["gram", "side", "p1", "p2"]
+    pointed = written(contexts.mapInArrow(_pointed, "gram long, side long, p1 long, p2 long, uid long, first long, bytes binary"), "pointed")
+    shared = written(pointed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "buckets")
+    left = pointed.join(shared, key, "left_semi").select("uid", "first", "bytes")
+    windows = written(left.mapInArrow(_window_digests, "h1 long, h2 long, uid long, first long"), "windows")
+    twice = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
+    return windows.join(twice, ["h1", "h2"], "left_semi").select("uid", "first", F.col("first").alias("last"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the way through the shuffle."""
     pack = zstandard.ZstdCompressor(level=3)
     for batch in sliced(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], names=["uid", "doc_id", "packed"])
+        data = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, data)), pa.int64()), pa.array([pack.compress(d) for d in data], pa.binary())], names=["uid", "doc_id", "n_bytes", "packed"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,31 +283,32 @@ def _run(first: str = "run"):
 
 
 def covered_windows(base: DataFrame) -> DataFrame:
-    """uid, first, last: stretches of windows that start elsewhere too (base: uid, doc_id, text)."""
-    runs = base.where(F.octet_length("text") >= LENGTH).mapInArrow(_all_runs, "uid long, run long, gram long, context long")
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    shared = written(runs.join(shared, "gram"), "runs")
+    """uid, first, last: stretches of windows that start elsewhere too (base: uid, n_bytes, packed)."""
+    texts = base.where(F.col("n_bytes") >= LENGTH).select("uid", "packed")
+    runs = written(texts.mapInArrow(_all_runs, _RUN), "runs")
+    # lists to join with are written first, so that adaptive execution can split a hot bucket's rows
+    grams = written(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    shared = written(runs.join(grams, "gram"), "shared")
     # a run of each class in the first document that has it stands for the class
-    best = written(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("run", "uid").alias("run")), "classes")
-    whole = shared.join(best.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("uid", *_run())
-    several = best.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    best = written(shared.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("run", "uid").alias("run")), "classes")
+    repeated = written(best.where("n > 1").select("gram", "c1", "c2"), "repeated")
+    whole = shared.join(repeated, ["gram", "c1", "c2"], "left_semi").select("uid", *_run())
+    several = written(best.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "several")
     reps = best.join(several, "gram").select("uid", F.struct("run", "gram", (F.col("k") > CROWD).alias("crowd")).alias("rep"))
     reps = reps.groupBy("uid").agg(F.collect_list("rep").alias("reps"))
-    texts = base.where(F.octet_length("text") >= LENGTH).mapInArrow(_packed, "uid long, doc_id long, packed binary").select("uid", "packed")
     contexts = written(texts.join(reps, "uid").select("uid", "packed", "reps").mapInArrow(_contexts, "gram long, crowd boolean, uid long, first long, bytes binary"), "contexts")
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    refined = contexts.where("not crowd").select("gram", "uid", "first", "bytes").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_refined, _COVERED)
-    hashes = contexts.where("crowd").select("uid", "first", "bytes").mapInArrow(_window_hashes, "h1 long, h2 long, uid long, first long")
-    twice = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    counted = hashes.join(twice, ["h1", "h2"], "left_semi").select("uid", "first", F.col("first").alias("last"))
-    return whole.union(refined).union(counted)
+    columns = ("gram", "uid", "first", "bytes")
+    refined = contexts.where("not crowd").select(*columns).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_refined, _COVERED)
+    return whole.union(refined).union(_crowded(contexts.where("crowd").select(*columns)))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), whole_text())
+    base = written(base.mapInArrow(_packed, "uid long, doc_id long, n_bytes long, packed binary"), "packed")
     covered = written(covered_windows(base), "covered").groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
-    return base.mapInArrow(_packed, "uid long, doc_id long, packed binary").join(covered, "uid", "left").select("doc_id", "packed", "covered").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.join(covered, "uid", "left").select("doc_id", "packed", "covered").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
