@@ -1,32 +1,38 @@
 """Benchmark decontamination over a positional inverted index of the training tokens.
 
 The index is sharded by document: each row holds one document's postings of the test vocabulary,
-the sorted terms with the ascending word positions of each. It is written once. Terms are ranked
-by how often they occur in the whole corpus. A phrase is looked up from its rarest term: that
-term's positions, less its offset in the phrase, are candidate starts; they are intersected with
-the offset-adjusted positions of the next rarer terms in turn until all words agree. Since each
-shard answers for its own documents, no posting moves.
-
-The test set is read in blocks of bounded size, each against all rows, and a document's answers
-from several blocks are united, so the test set may be of any size. Null texts have no words and
-items without words no window; repeated item rows count once, null item_ids as the text 'null'.
+the sorted terms with the ascending word positions of each. It is written once for all test items
+whose vocabulary fits TERMS words (else once for each such shelf of items). Terms are ranked by
+how often they occur in the whole corpus. A phrase is looked up from its rarest term: that term's
+positions, less its offset in the phrase, are candidate starts; they are intersected with the
+offset-adjusted positions of the next rarer terms in turn until all words agree. Since each shard
+answers for its own documents, no posting moves.
+
+The phrases of a shelf go to the index in blocks of bounded size, each against all rows, and a
+document's answers from several blocks are united, so the test set may be of any size. Rows are
+numbered once and written. Null texts have no words and items without words no window; repeated
+item rows count once, null item_ids as the text 'null'.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, sliced, whole_text, written
+from ligature.llm.common import numbered, read, sliced, texts_of, whole_text, written
 
 WINDOW = 10
-#: Bytes of test text that one block holds; a single longer item is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Characters of test text that one block holds; a single longer item is a block of its own.
+BLOCK_BYTES = 1 << 20
+#: Words that the index knows at once; a single item of more is a shelf of its own.
+TERMS = 1_000_000
 #: Bytes of words: 0-9, a-z (A-Z become these), all of 0x80 and above; others become blanks.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -38,8 +44,8 @@ def words(text: str | None) -> list[bytes]:
 class Phrases:
     """Windows of a block of test items: distinct phrases, each with the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, vocabulary: dict[bytes, int] | None = None):
+        self.vocabulary: dict[bytes, int] = {} if vocabulary is None else vocabulary
         held: dict[tuple[int, ...], set[str]] = {}
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
@@ -88,9 +94,10 @@ class Plan:
         return phrase, start
 
 
-def postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The index: doc_id, n_words, terms and positions (same length, by term, then position)."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def postings(base: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """The index of a numbered table: uid, doc_id, n_words, terms and positions (same length, by term,
+    then position)."""
+    sent = base.sparkSession.sparkContext.broadcast(vocabulary)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = sent.value.get
@@ -106,7 +113,7 @@ def postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 places.append(at[order].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], names=["uid", "doc_id", "n_words", "terms", "positions"])
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), whole_text()).mapInArrow(index, "uid long, doc_id long, n_words long, terms array<int>, positions array<int>")
+    return texts_of(base).mapInArrow(index, "uid long, doc_id long, n_words long, terms array<int>, positions array<int>")
 
 
 def frequencies(index: DataFrame, n: int) -> np.ndarray:
@@ -168,10 +175,26 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[new], ends[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(ends) - 1]))]
 
 
-def _united(rows: DataFrame) -> DataFrame:
-    """One row per document from the rows of several blocks (as many a document as blocks)."""
+def shelves(benchmark: DataFrame, limit: int = BLOCK_BYTES, terms: int = TERMS) -> Iterator[tuple[dict[bytes, int], int, int]]:
+    """Vocabularies, each with the first and the last block whose words it holds, its end excluded."""
+    vocabulary, first, at = {}, 0, 0
+    for at, block in enumerate(blocks(benchmark, limit)):
+        new = {w for _, text in block for w in words(text)}.difference(vocabulary)
+        if vocabulary and len(vocabulary) + len(new) > terms:
+            yield vocabulary, first, at
+            vocabulary, first = {}, at
+            new = {w for _, text in block for w in words(text)}
+        for w in sorted(new):
+            vocabulary[w] = len(vocabulary)
+    yield vocabulary, first, at + 1
+
+
+def _united(index: DataFrame, hits: list[DataFrame]) -> DataFrame:
+    """One row per document of the index from the hits of several blocks (as many a document as blocks)."""
+    rows = reduce(DataFrame.union, hits)
     schema = rows.schema
-    joined = rows.groupBy("uid", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends", "items")))
+    lists = ("begins", "ends", "items")
+    joined = rows.groupBy("uid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,22 +202,26 @@ def _united(rows: DataFrame) -> DataFrame:
             items = [sorted(set(x)) for x in batch.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r[0] for r in runs], pa.list_(pa.int64())), pa.array([r[1] for r in runs], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
-    return joined.mapInArrow(unite, schema)
+    filled = [F.coalesce(F.col(c), F.array().cast(schema[c].dataType)).alias(c) for c in lists]
+    return index.select("uid", "doc_id", "n_words").join(joined, "uid", "left").select("uid", "doc_id", "n_words", *filled).mapInArrow(unite, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: uid, doc_id, n_words, begins and ends of the hit runs, and items."""
-    spark, found = docs.sparkSession, []
-    for block in blocks(benchmark, block_bytes):
-        phrases = Phrases(block, window)
-        index = written(postings(docs, phrases.vocabulary), "postings")
-        found.append(_matched(index, phrases.plan(frequencies(index, len(phrases.vocabulary)))))
+def matches(base: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, terms: int = TERMS) -> DataFrame:
+    """One row per row of a numbered table: uid, doc_id, n_words, begins and ends of the hit runs, items."""
+    found, index = [], None
+    for vocabulary, first, end in shelves(benchmark, block_bytes, terms):
+        index = written(postings(base, vocabulary), "postings")
+        uses = frequencies(index, len(vocabulary))
+        for block in islice(blocks(benchmark, block_bytes), first, end):
+            found.append(_matched(index, Phrases(block, window, vocabulary).plan(uses)))
     if not found:
-        found.append(_matched(postings(docs, {}), Phrases([]).plan(np.zeros(0, np.int64))))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.union(more)
-    return rows if len(found) == 1 else _united(rows)
+        found.append(_matched(index, Phrases([]).plan(np.zeros(0, np.int64))))
+    return found[0] if len(found) == 1 else _united(index, [f.where(F.size("items") > 0) for f in found])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, terms: int = TERMS) -> DataFrame:
+    """One row per document: uid, doc_id, n_words, begins and ends of the hit runs, and items."""
+    return matches(numbered(docs.select("doc_id", "text")), benchmark, window, block_bytes, terms)
 
 
 def near_matches(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -202,7 +229,7 @@ def near_matches(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
     first word. Candidates come from the rarest term; no terms or an absent one give no rows."""
     wanted = sorted({w for t in terms for w in words(t)})
     vocabulary = {w: i for i, w in enumerate(wanted)}
-    index = written(postings(docs, vocabulary), "postings")
+    index = written(postings(numbered(docs.select("doc_id", "text")), vocabulary), "postings")
     rare = np.argsort(frequencies(index, len(wanted)), kind="stable").tolist()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
