@@ -64,9 +64,9 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PASS, strict=True)], schema=_PASS)
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """One row per document: sizes, digest of the normalised text, and its unverified recipe."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), whole_text()).mapInArrow(_recipes, _DDL)
+def recipes(base: DataFrame) -> DataFrame:
+    """One row per row (uid, doc_id, text): sizes, digest of the normalised text, and its unverified recipe."""
+    return base.mapInArrow(_recipes, _DDL)
 
 
 def chunks(found: DataFrame) -> DataFrame:
@@ -98,15 +98,21 @@ def verified(found: DataFrame) -> DataFrame:
     return found.join(told, "uid", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<int>")))
 
 
+def exact_groups(base: DataFrame) -> DataFrame:
+    """One row per row (uid, doc_id, text): uid, doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
+    found = verified(written(recipes(base), "recipes")).withColumn("code", F.xxhash64("keys", "n_bytes"))
+    same = ["code", "n_bytes", "keys", "variants"]
+    groups = found.groupBy(*same).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "uid")).alias("best"))
+    return found.join(groups, same).select("uid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256", F.size("keys").cast("long").alias("n_chunks"))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Of texts with equal recipes the row with the most code points, then the smallest doc_id stays.
+    The recipes are written with their row numbers, and nothing else reads the texts.
     """
-    found = verified(written(recipes(docs), "recipes")).withColumn("code", F.xxhash64("keys", "n_bytes"))
-    same = ["code", "n_bytes", "keys", "variants"]
-    groups = found.groupBy(*same).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "uid")).alias("best"))
-    return found.join(groups, same).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256", F.size("keys").cast("long").alias("n_chunks"))
+    return exact_groups(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), whole_text())).drop("uid")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

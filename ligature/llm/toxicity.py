@@ -109,6 +109,10 @@ class Model:
         x = self.weights[-1] + sum(w * v for w, v in zip(self.weights, self.evidence(n, strengths), strict=False))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
+    def score(self, text: str) -> float:
+        n, found = self.passages(text)
+        return self.score_of(n, [self.chance(n, s) for _, _, s in found])
+
     def rated(self, text: str) -> list[float]:
         n, found = self.passages(text)
         return self.evidence(n, [self.chance(n, s) for _, _, s in found])
@@ -214,6 +218,19 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model({r.token: r.value for r in rows if r.token}, rest[0], rest[1], tuple(rest[2:]))
 
 
+def untoxic(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below ``least``, all their columns as they are; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.k, model.decay, model.weights))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
+        for batch in sliced(batches):
+            yield batch.filter(pa.array([model.score(t.as_py() or "") < least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, score, passages (first word, last word, score, -log chance)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.k, model.decay, model.weights))

@@ -190,10 +190,7 @@ def brute_near_groups(texts):
     return label, pairs
 
 
-def test_near_copies_are_all_pairs_at_four_fifths(spark, monkeypatch):
-    import corpus_pipeline as p
-
-    r, texts = random.Random(8), list(TEXTS)
+def edited(r, texts):
     line = say(25)
     for _ in range(25):
         w = say(r.randint(30, 200)).split() + line.split() * (r.random() < 0.5)
@@ -204,17 +201,49 @@ def test_near_copies_are_all_pairs_at_four_fifths(spark, monkeypatch):
                 w[r.randrange(len(w))] = say(1)
             texts.append(" ".join(w))
     r.shuffle(texts)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return texts
+
+
+def test_near_copies_are_the_groups_of_all_pairs(spark):
+    import corpus_pipeline as p
+
+    texts = edited(random.Random(8), list(TEXTS))
+    docs = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, uid long").repartition(3)
     label, pairs = brute_near_groups(texts)
     far = [1 for a, b in pairs if (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() > 3]
     assert len(far) > 5
-    for sampled in (near_copies.SAMPLED, 1):
-        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
-        assert {x.doc_id: x.component_id for x in near_copies.near_groups(docs).collect()} == dict(enumerate(label))
-    assert {x.doc_id for x in p.drop_near_copies(spark, docs, "").collect()} == set(label)
+    got = {x.doc_id: x.component_id for x in near_copies.near_groups(docs).collect()}
+    # links are verified, so groups are never larger than those of all pairs
+    assert got.keys() == set(range(len(texts))) and all(label[i] == label[c] and c <= i for i, c in got.items())
+    found = {p: got[p[0]] == got[p[1]] for p in pairs}
+    sets = [set(near_copies.shingles(t or "").tolist()) for t in texts]
+    close = [p for p in pairs if not sets[p[0]] or len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) >= 0.85]
+    assert len(close) > 20 and all(found[p] for p in close)
+    assert sum(found.values()) >= 0.95 * len(pairs)
+    kept = {x.doc_id for x in p.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(got.values())
     assert near_copies.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_one_large_group_and_repeated_rows(spark):
+    r = random.Random(9)
+    base = say(150).split()
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        w[r.randrange(len(w))] = say(1)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3]), (500, None), (501, " ")], "doc_id long, text string")
+    got = Counter((x.doc_id, x.component_id) for x in near_copies.near_groups(docs).collect())
+    assert got == Counter({(i, 0): 1 + (i == 3) for i in range(150)}) + Counter([(None, 0), (500, 500), (501, 500)])
+
+
+def test_codewords_are_eight_apart():
+    words = near_copies.code()
+    fit = words @ words.T
+    assert words.shape == (2048, 24) and set(np.unique(fit)) == {-8.0, 0.0, 8.0, 24.0} | ({-24.0} & set(np.unique(fit)))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
@@ -237,17 +266,6 @@ def test_toxicity(spark):
     assert set(x.score for x in toxicity.toxicity(docs, toxicity.trained(docs, labels.limit(0))).collect()) == {0.0}
 
 
-def test_pipeline_drops_all_that_the_operator_predicts_toxic(spark, monkeypatch, tmp_path):
-    import corpus_pipeline as p
-
-    scored = spark.createDataFrame([(1, 0.0), (2, 0.29), (3, toxicity.THRESHOLD), (4, 0.4), (5, 0.9)], "doc_id long, score double")
-    docs = spark.createDataFrame([(i, "x") for i in range(1, 6)], "doc_id long, text string")
-    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    monkeypatch.setattr(toxicity, "trained", lambda *_: None)
-    monkeypatch.setattr(toxicity, "toxicity", lambda *_: scored)
-    assert {r.doc_id for r in p.drop_toxic(spark, docs, str(tmp_path)).collect()} == {1, 2}
-
-
 def test_segments_are_maximal():
     r = random.Random(4)
     for _ in range(50):
@@ -310,16 +328,151 @@ def test_minimum_cut_is_minimal():
         assert cost(html_main.minimum_cut(s, t, e)) == min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
+TOXIC = ["zidiot", "zscum", "zmoron"]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with a labelled corpus: toxic, copied, nearly copied and contaminated documents, and two
+    rows of one doc_id of which one has to go."""
+    r, path = random.Random(11), f"file://{tmp_path_factory.mktemp('corpus')}"
+    rows, labels = [], []
+    for i in range(1000, 1700):
+        w = [r.choice(WORDS) for _ in range(r.randint(20, 80))]
+        toxic = i % 7 == 0
+        for _ in range(5 * toxic):
+            w.insert(r.randrange(len(w)), r.choice(TOXIC))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 0, int(toxic)))
+    rows += [(i, t) for i, t in DOCS] + list(enumerate(edited(r, []), 3000))
+    rows += [(7000, say(60)), (7000, say(30) + " zidiot zscum zmoron zidiot zscum " + say(20)), (7001, say(60)), (7001, say(30) + " " + ITEMS[0][1] + " " + say(30)), (7002, say(20) + " " + ITEMS[0][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def rows_of(df):
+    return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def has_item(text):
+    w = brute_words(text)
+    for _, x in ITEMS:
+        b = brute_words(x)
+        for at in range(max(1, len(b) - 9) if b else 0):
+            g = b[at : at + 10]
+            if any(w[s : s + len(g)] == g for s in range(len(w) - len(g) + 1)):
+                return True
+    return False
+
+
+def test_each_pipeline_stage_equals_brute_force(spark, corpus):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "bpe_encoding"]
+    docs = common.read(spark, corpus, "documents")
+    clean = common.written(p.drop_toxic(spark, docs, corpus), "t")
+    assert clean.columns == docs.columns
+    before, after = rows_of(docs), rows_of(clean)
+    gone = before - after
+    truth = lambda t: sum(w in TOXIC for w in (t or "").split()) >= 3
+    assert not after - before and sum(truth(t) for _, t in gone) >= 0.97 * sum(truth(t) for _, t in before)
+    assert sum(not truth(t) for _, t in gone) <= 0.02 * before.total()
+    assert [i for i, _ in gone].count(7000) == 1 and [i for i, _ in after].count(7000) == 1
+    once = common.written(p.drop_copies(spark, clean, corpus), "e")
+    strip = lambda t: (t or "").translate({c: None for c in (32, 9, 10, 11, 12, 13)})
+    best = {}
+    for i, t in after.elements():
+        key = (-len(t or ""), i is not None, i or 0)
+        best[strip(t)] = min(best.get(strip(t), (key, i, t)), (key, i, t), key=lambda x: x[0])
+    assert Counter((i, len(t or "")) for i, t in rows_of(once).elements()) == Counter((i, len(t or "")) for _, i, t in best.values())
+    single = common.written(p.drop_near_copies(spark, once, corpus), "n")
+    held = sorted(rows_of(once).elements(), key=str)
+    label, pairs = brute_near_groups([t for _, t in held])
+    kept = rows_of(single)
+    assert not kept - rows_of(once) and len(set(label)) <= kept.total() <= len(set(label)) + 2 < len(held)
+    left = common.written(p.drop_benchmark(spark, single, corpus), "d")
+    assert rows_of(left) == Counter({x: n for x, n in kept.items() if not has_item(x[1])}) and left.columns == docs.columns
+    t = Tokenizer.from_file(bpe.default_path())
+    coded = Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows_of(left).elements())
+    assert Counter((r.doc_id, r.n_tokens) for r in p.encode(spark, left, corpus).collect()) == coded
+    assert Counter((r.doc_id, r.n_tokens) for r in p.run(spark, corpus).collect()) == coded
+    assert [i for i, _ in rows_of(left)].count(7001) == 1 and 7002 not in [i for i, _ in rows_of(left)]
+
+
+def test_pipeline_of_empty_tables(spark, corpus, tmp_path):
     import corpus_pipeline as p
 
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    once = p.drop_copies(spark, docs, str(tmp_path))
-    assert once.columns == docs.columns and once.count() == sum(r.kept for r in exact_dedup.exact_dedup(docs).collect())
-    ids = {r.doc_id for r in p.run(spark, str(tmp_path)).collect()}
-    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(once).collect()}
-    gone = {r.doc_id for r in decontaminate.decontaminate(once, spark.createDataFrame(ITEMS, "item_id long, text string")).collect() if r["items"]}
-    assert ids == {i for i, c in groups.items() if i == c} - gone and {6, 20, 21} <= gone | {i for i, c in groups.items() if i != c}
+    for name in ("documents", "labels", "benchmark"):
+        common.read(spark, corpus, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.fixture
+def resplit(spark, monkeypatch):
+    """After every write of Parquet, later scans of files are split otherwise."""
+    from pyspark.sql import DataFrameWriter
+
+    turn, old = [0], DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        old(self, *args, **kwargs)
+        turn[0] += 1
+        spark.conf.set("spark.sql.files.minPartitionNum", str((3, 17, 7, 1, 29)[turn[0] % 5]))
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    yield turn
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_results_do_not_depend_on_how_scans_are_split(spark, corpus, resplit, tmp_path):
+    docs = common.read(spark, corpus, "documents")
+    docs.repartition(6).write.parquet(f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    told = lambda df: Counter(tuple(map(str, r)) for r in df.collect())
+    in_blocks = decontaminate.decontaminate(docs, bench, block_bytes=20, terms=15).drop("uid")
+    assert told(in_blocks) == told(decontaminate.decontaminate(docs, bench).drop("uid"))
+    seen = Counter()
+    held = [(t or "").encode() for _, t in rows_of(docs).elements()]
+    for data in held:
+        seen.update(data[s : s + 400] for s in range(len(data) - 399))
+    want = 0
+    for data in held:
+        cut = np.zeros(len(data) + 1, bool)
+        for s in range(len(data) - 399):
+            if seen[data[s : s + 400]] > 1:
+                cut[s : s + 400] = True
+        want += int(cut.sum())
+    assert sum(r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()) == want > 0
+    assert resplit[0] > 10
+
+
+def test_repeated_bytes_across_segments_and_in_long_texts(spark):
+    r = random.Random(12)
+    block = "".join(r.choice("abcdefgh ") for _ in range(suffix_dedup.SEGMENT + 3000))
+    other = "".join(r.choice("ijklmnop ") for _ in range(1500))
+    texts = [block, other + block[suffix_dedup.SEGMENT - 700 : suffix_dedup.SEGMENT + 900], other[:399], "ab" * 100_000, other[:400] + "q" + other[:399]]
+    got = {x.doc_id: x for x in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(5)] == [(1600, 1), (1600 + 400, 2), (0, 0), (200_000, 1), (400, 1)]
+
+
+def test_operators_take_empty_tables_and_clashing_columns(spark, docs, empty):
+    assert bpe.bpe_encode(empty).count() == 0 and licences.license_scan(empty).count() == 0
+    assert html_main.html_main(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(empty, toxicity.trained(empty, none)).count() == 0
+    odd = docs.withColumn("score", docs.doc_id).withColumn("toxic", docs.doc_id).withColumn("token", docs.text)
+    assert toxicity.toxicity(odd, toxicity.trained(odd, none)).count() == len(DOCS)
+    assert toxicity.untoxic(odd, toxicity.Model({})).columns == odd.columns
+    chats = spark.createDataFrame([(1, 0, "user", "hi", "k", 1), (1, 1, "assistant", "ho", "k", 2)], "conv_id long, turn long, role string, text string, formatted string, offsets long")
+    assert chat.format_chats(chats).count() == 1
+
+
