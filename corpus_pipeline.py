@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages: toxicity, exact and near duplicates, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns
-of documents. Rows that share doc_id and text are one document. Null texts count as empty.
+of documents. Every row is judged for itself, also where rows share a doc_id: stages that must find
+rows again number them once and write them with their numbers. Null texts count as empty. No stage
+moves texts by itself: rows leave by an anti-join with the written list of those that go, which the
+planner broadcasts if its size allows.
 """
 
 from __future__ import annotations
@@ -9,42 +12,32 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligature.llm import bpe, common, decontaminate, exact_dedup, near_copies, toxicity
 
-#: Documents of at least this score go: those that the operator predicts toxic.
-TOXIC = toxicity.THRESHOLD
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``, null doc_ids among them."""
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, toxicity.trained(docs, common.read(spark, sf_dir, "labels")))
-    return _only(docs, scored.where(F.col("score") < TOXIC))
+    """Operator 5: documents that it predicts toxic go."""
+    return toxicity.untoxic(docs, toxicity.trained(docs, common.read(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), common.SPACE, ""), 256)
-    rows = docs.withColumn("_own", sha).join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    first = Window.partitionBy("doc_id", "_own").orderBy(F.char_length("text").desc_nulls_last())
-    return rows.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    """Operator 1: of equal documents the one that it keeps stays."""
+    base = common.numbered(docs)
+    return common.without(base, exact_dedup.exact_groups(common.texts_of(base)).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_copies.near_groups(docs)
-    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Operator 8 at five words and a similarity of 0.8: one document of each group stays."""
+    base = common.numbered(docs)
+    return common.without(base, near_copies.near_groups_of(base).where("uid <> keep"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where(F.size("items") == 0))
+    """Operator 4: documents that hold a window of a test item go."""
+    base = common.numbered(docs)
+    return common.without(base, decontaminate.matches(base, common.read(spark, sf_dir, "benchmark")).where(F.size("items") > 0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("decontamination", drop_benchmark),
     ("bpe_encoding", encode),
 ]
