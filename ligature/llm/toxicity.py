@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm.common import read, sliced, whole_text
+from ligature.llm.common import read, sliced, whole_text, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
@@ -145,50 +145,6 @@ def token_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> di
     return out
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """The model of a bounded list of labelled texts. Half of them (by hash) give the tokens, both
-    halves take turns, so that calibration sees texts that its tokens don't come from."""
-    rows = sorted(dict(sorted(zip(texts, labels, strict=True))).items())
-    parts = [[r for r in rows if zlib.crc32(r[0].encode()) % 2 == h] for h in (0, 1)]
-
-    def counted(part: list[tuple[str, int]]) -> tuple[dict, int, int]:
-        counts: dict[str, list[int]] = {}
-        for text, y in part:
-            for t in {t for w in set(_WORD.findall(text.lower())) for t in tokens(w)}:
-                counts.setdefault(t, [0, 0])[1 - y] += 1
-        toxic = sum(y for _, y in part)
-        return counts, toxic, len(part) - toxic
-
-    found = [counted(p) for p in parts]
-    if not all(t and c for _, t, c in found):
-        return Model({})
-    halves = [Model(token_odds(*f)) for f in found]
-    # Gumbel fit: log(-log P(best < s)) falls linearly in s, given log n
-    best = []
-    for model, other in zip(halves, reversed(parts), strict=True):
-        for text, y in other:
-            if not y:
-                n, seg = model.passages(text)
-                best.append((max(n, 1), max((s for _, _, s in seg), default=0.0)))
-    n, s = np.array(best, float).T
-    order = np.argsort(s)
-    above = 1 - (np.arange(len(s)) + 0.5) / len(s)
-    tail = order[above < 0.2] if (above < 0.2).sum() > 10 else order
-    x, p = s[tail], np.log(np.maximum(above[np.argsort(order)][tail], 1e-9))
-    decay = float(np.clip(-np.polyfit(x, p, 1)[0], 0.2, 2.0)) if np.ptp(x) > 0 else 1.0
-    k = float(np.exp(np.mean(p + decay * x)) / n.mean())
-    for m in halves:
-        m.k, m.decay = k, decay
-    ev = [(m.rated(text), y) for m, other in zip(halves, reversed(parts), strict=True) for text, y in other]
-    weights = logistic(np.array([e for e, _ in ev]), np.array([y for _, y in ev], float))
-    counts: dict[str, tuple[int, int]] = {}
-    for c, _, _ in found:
-        for t, (a, b) in c.items():
-            old = counts.get(t, (0, 0))
-            counts[t] = (old[0] + a, old[1] + b)
-    return Model(token_odds(counts, sum(f[1] for f in found), sum(f[2] for f in found)), k, decay, weights)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """text and toxic of the training fold: labelled rows whose crc32(doc_id as text) mod 4 isn't 2."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -198,24 +154,88 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", whole_text()).join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model, fitted in one task on a bounded sample; only its kept tokens reach the driver."""
+_ROWS = "half int, toxic int, text string"
+
+
+def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """The training rows, written: half (by hash, calibration sees texts that its tokens don't come
+    from), toxic, text. Repeated texts come once, toxic if any is."""
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = training_rows(docs, labels, sample).repartition(spread, "text").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
+    return written(rows.select((F.crc32("text") % 2).cast("int").alias("half"), "toxic", "text"), "training")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold each token: toxic and clean ones of each half, batch by batch."""
+    for batch in sliced(batches):
+        counts: dict[str, list[int]] = {}
+        for half, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for t in {t for w in set(_WORD.findall(text.as_py().lower())) for t in tokens(w)}:
+                counts.setdefault(t, [0, 0, 0, 0])[2 * half + 1 - y] += 1
+        columns = list(zip(*counts.values(), strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["token", "t0", "c0", "t1", "c1"])
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
+
+def _significant(totals: list[int]):
+    """Of counted tokens those significant in either half or in both, with their log-odds in each."""
+    t0, c0, t1, c1 = totals
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            toxic += batch.column(1).to_pylist()
-        m = fit(texts, toxic)
-        names = [*m.odds, "", "", *[""] * len(m.weights)]
-        values = [*m.odds.values(), m.k, m.decay, *m.weights]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(range(len(names)), pa.int64()), pa.array(values, pa.float64())], names=["token", "place", "value"])
-
-    rows = training_rows(docs, labels, sample).repartition(1).mapInArrow(train, "token string, place long, value double").collect()
-    rows = sorted(rows, key=lambda r: r.place)
-    if not (rest := [r.value for r in rows if not r.token]):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            odds = [token_odds({r[0]: (r[1], r[2]) for r in rows}, t0, c0), token_odds({r[0]: (r[3], r[4]) for r in rows}, t1, c1), token_odds({r[0]: (r[1] + r[3], r[2] + r[4]) for r in rows}, t0 + t1, c0 + c1)]
+            kept = sorted(set().union(*odds))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *(pa.array([o.get(t) for t in kept], pa.float64()) for o in odds)], names=["token", "o0", "o1", "both"])
+
+    return choose
+
+
+def _rated(halves: list[Model], best_only: bool):
+    """Of each training row, by the tokens of the other half: toxic and its words and best segment, or
+    its evidence."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [Model(m.odds, m.k, m.decay) for m in halves]
+        for batch in sliced(batches):
+            out = []
+            for half, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                model = models[1 - half]
+                if best_only:
+                    n, found = model.passages(text.as_py())
+                    out.append((y, float(max(n, 1)), max((s for _, _, s in found), default=0.0), 0.0))
+                else:
+                    out.append((y, *model.rated(text.as_py())))
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.float64()) for c in columns[1:])], names=["toxic", "a", "b", "c"])
+
+    return rate
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of a bounded sample. Tokens are counted and rows rated by all tasks; significant
+    tokens and three numbers a sampled row reach the driver."""
+    rows = _training(docs, labels, sample)
+    sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    totals = [sizes.get(k, 0) for k in ((0, 1), (0, 0), (1, 1), (1, 0))]
+    if not all(totals):
         return Model({})
-    return Model({r.token: r.value for r in rows if r.token}, rest[0], rest[1], tuple(rest[2:]))
+    counts = rows.mapInArrow(_counted, "token string, t0 long, c0 long, t1 long, c1 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
+    enough = counts.where(F.col("t0") + F.col("c0") + F.col("t1") + F.col("c1") >= LEAST)
+    kept = enough.mapInArrow(_significant(totals), "token string, o0 double, o1 double, both double").collect()
+    halves = [Model({r.token: r[c] for r in kept if r[c] is not None}) for c in ("o0", "o1")]
+    # Gumbel fit: log(-log P(best < s)) falls linearly in s, given log n
+    best = rows.where("toxic = 0").mapInArrow(_rated(halves, True), "toxic int, a double, b double, c double").collect()
+    n, s = np.array(sorted((r.a, r.b) for r in best), float).T
+    order = np.argsort(s, kind="stable")
+    above = 1 - (np.arange(len(s)) + 0.5) / len(s)
+    tail = order[above < 0.2] if (above < 0.2).sum() > 10 else order
+    x, p = s[tail], np.log(np.maximum(above[np.argsort(order)][tail], 1e-9))
+    decay = float(np.clip(-np.polyfit(x, p, 1)[0], 0.2, 2.0)) if np.ptp(x) > 0 else 1.0
+    k = float(np.exp(np.mean(p + decay * x)) / n.mean())
+    for m in halves:
+        m.k, m.decay = k, decay
+    ev = np.array(sorted((r.a, r.b, r.c, r.toxic) for r in rows.mapInArrow(_rated(halves, False), "toxic int, a double, b double, c double").collect()))
+    return Model({r.token: r.both for r in kept if r.both is not None}, k, decay, logistic(ev[:, :3], ev[:, 3]))
 
 
 def untoxic(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
