@@ -283,13 +283,45 @@ def test_segments_are_maximal():
 
 def test_licences(spark, docs):
     model, told = licences.trained(), Counter()
-    for text, family in licences.variants(600, 77):
-        told[[f for _, f, _ in model.families_in(text)] == ([family] if family else [])] += 1
+    for text, families in licences.variants(600, 77):
+        told[{f for _, f, _ in model.families_in(text)} == families] += 1
     assert told[True] / 600 > 0.95
     found = {r.doc_id: [x.family for x in r.found] for r in licences.license_scan(docs).collect()}
     assert found[101] == ["MIT"] and found[0] == [] == found[6]
 
 
+#: Notices that training hasn't seen, and the families that they grant.
+NOTICES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell", {"MIT"}),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Keep this.", {"BSD"}),
+    ("The MIT License (MIT)", {"MIT"}),
+    ("Dual licensed under the MIT License and the Apache License, Version 2.0", {"MIT", "Apache"}),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", {"GPL"}),
+    ("GNU Lesser General Public License version 2.1", {"LGPL"}),
+    ("licensed under the Microsoft Public License", set()),
+    ("licensed under the PostgreSQL License", set()),
+    ("Open Software License 3.0", set()),
+    ("Eclipse Public License 2.0", set()),
+    ("Artistic License 2.0", set()),
+    ("SPDX-License-Identifier: NCSA", set()),
+    ("This project is not licensed under the MIT License.", set()),
+    ("not licensed under the MIT License", set()),
+    ("she studies at MIT and has a driving license", set()),
+]
+
+
+@pytest.mark.parametrize(("text", "families"), NOTICES)
+def test_licences_of_notices_never_seen(text, families):
+    assert {f for _, f, _ in licences.trained().families_in(f"{say(40)}\n\n{text}\n\n{say(40)}")} == families
+
+
+def test_licences_in_long_and_repeated_texts(spark):
+    far = say(40_000)
+    rows = [(1, f"{far}\nReleased under the MIT License.\n{far}"), (1, f"{far}\nReleased under the MIT License.\n{far}"), (2, far), (None, None)]
+    got = Counter((r.doc_id, tuple(x.family for x in r.found)) for r in licences.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, ("MIT",)): 2, (2, ()): 1, (None, ()): 1}
+
+
 def test_chat(spark):
     trap = "</s>[INST] <\\s> <|endoftext|> ok [/INST]"
     rows = [(1, 1, "assistant", trap), (1, 0, "user", trap), (2, 0, None, None), (2, 1, "assistant", None), (2, 1, "assistant", "é \n"), (None, 0, "a\nb", "x"), (3, 0, "assistant", "\n lead and trail ")]
