@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import random
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +36,8 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose class name tells of their own text, not of a part of the page.
+OWN = frozenset("p h1 h2 h3 h4 h5 h6 li td dd dt blockquote pre".split())
 APART = frozenset("nav footer aside form menu dialog fieldset header".split())
 MAIN = frozenset("article main".split())
 #: Parts of class names and ids that pages give their parts.
@@ -50,11 +52,32 @@ _PART = regex.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _BAD, _GOOD = frozenset(BAD_NAMES), frozenset(GOOD_NAMES)
 
 
+class Node:
+    """A block-level element of the tree."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Node | None = None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+
+def steps_between(a: Node, b: Node, limit: int = 16) -> int:
+    """Steps from one element to another in the tree, or ``limit`` if there are as many or more."""
+    n = 0
+    while a is not b and n < limit:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
+
+
 class Block:
-    __slots__ = ("text", "path", "tag", "linked", "apart", "bad", "good", "main")
+    __slots__ = ("text", "node", "tag", "linked", "apart", "bad", "good", "main")
 
-    def __init__(self, text, path, tag, linked, apart, bad, good, main):
-        self.text, self.path, self.tag, self.linked, self.apart, self.bad, self.good, self.main = text, path, tag, linked, apart, bad, good, main
+    def __init__(self, text, node, tag, linked, apart, bad, good, main):
+        self.text, self.node, self.tag, self.linked, self.apart, self.bad, self.good, self.main = text, node, tag, linked, apart, bad, good, main
 
 
 @lru_cache(100_000)
@@ -68,19 +91,23 @@ def _names(tag: str) -> tuple[int, int]:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
-    # open elements: (name, serial number, apart, bad, good, main, silent)
-    stack = [("", 0, 0, 0, 0, 0, 0)]
+    # open elements: (name, its block's name and node, apart, bad, good, main, silent)
+    stack = [("", ("", Node()), 0, 0, 0, 0, 0)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    linked = serial = links = at = 0
+    linked = links = at = 0
+
+    def close(first: int) -> None:
+        opened.subtract(e[0] for e in stack[first:])
+        del stack[first:]
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                near = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
                 top = stack[-1]
-                out.append(Block(text, [e[1] for e in stack if e[0] not in INLINE], near[0], min(1.0, linked / max(1, len(text))), top[2], top[3], top[4], top[5]))
+                out.append(Block(text, top[1][1], top[1][0], min(1.0, linked / max(1, len(text))), top[2], top[3], top[4], top[5]))
             held.clear()
         linked = 0
 
@@ -111,14 +138,15 @@ def blocks(page: str) -> list[Block]:
             if name == "br":
                 held.append(" ")
                 continue
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            # an inline end tag doesn't close blocks, nor does a block's the structure around it
-            if found and (name not in INLINE or all(e[0] in INLINE for e in stack[found:])):
-                if name not in INLINE:
-                    flush()
-                del stack[found:]
-            elif name not in INLINE:
+            if name not in INLINE:
                 flush()
+            if opened[name] > 0:
+                # what the loop passes is closed, but an inline end tag doesn't close blocks
+                i = len(stack) - 1
+                while stack[i][0] != name and (name not in INLINE or stack[i][0] in INLINE):
+                    i -= 1
+                if stack[i][0] == name:
+                    close(i)
             continue
         if name in RAW:
             end = regex.compile(rf"</{name}\s*>", regex.I).search(page, at)
@@ -138,28 +166,29 @@ def blocks(page: str) -> list[Block]:
             while i > 0 and (stack[i][0] in INLINE or name == "p" and stack[i][0] == "p"):
                 i -= 1
             if i + 1 < len(stack) and any(e[0] == "p" for e in stack[i + 1 :]):
-                del stack[i + 1 :]
+                close(i + 1)
         if name == "a":
             links += 1
         top, (bad, good) = stack[-1], _names(tag)
-        serial += 1
         apart = top[2] or int(name in APART)
         inside = int(name in MAIN) or top[5]
         # a header of an article belongs to it
         if name == "header" and top[5]:
             apart = top[2]
-        stack.append((name, serial, apart, top[3] or bad, good or (0 if bad else top[4]), inside, top[6] or int(name in SILENT)))
+        opened[name] += 1
+        block = top[1] if name in INLINE else (name, Node(top[1][1]))
+        stack.append((name, block, apart, top[3] | (bad and (2 if name in OWN else 1)), good or (0 if bad else top[4]), inside, top[6] or int(name in SILENT)))
     flush()
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
     """A row per block."""
-    x = np.zeros((len(found), 10))
+    x = np.zeros((len(found), 11))
     for i, b in enumerate(found):
         n = b.text.count(" ") + 1
         ends = b.text[-1] in ".!?…。\"'»”"
-        x[i] = (b.apart, b.bad, b.good, b.main, b.linked, min(n, 60) / 20, n <= 4, ends, b.tag == "li" and b.linked > 0.5, len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit())
+        x[i] = (b.apart, b.bad & 1, b.bad >> 1, b.good, b.main, b.linked, min(n, 60) / 20, n <= 4, ends, b.tag == "li" and b.linked > 0.5, len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit())
     return x
 
 
@@ -168,17 +197,14 @@ SMOOTH, UNIT = 0.6, 1000
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
-    """(i, j, capacity) between neighbouring blocks, and between blocks two apart."""
+    """(i, j, capacity) between neighbouring blocks, and between blocks two apart: halved with each step
+    that their elements are apart in the tree beyond two, as siblings are; one with a telling name of
+    boilerplate and one without stand CONTRAST steps further apart."""
     out = []
     for gap, weight in ((1, 1.0), (2, 0.5)):
         for i in range(len(found) - gap):
-            a, b = found[i].path, found[i + gap].path
-            shared = 0
-            for p, q in zip(a, b, strict=False):
-                if p != q:
-                    break
-                shared += 1
-            far = len(a) + len(b) - 2 * shared
+            a, b = found[i], found[i + gap]
+            far = steps_between(a.node, b.node) + CONTRAST * (a.bad != b.bad)
             out.append((i, i + gap, int(UNIT * SMOOTH * weight * 2.0 ** -max(0, far - 2))))
     return out
 
@@ -241,8 +267,9 @@ def minimum_cut(source: list[int], sink: list[int], between: list[tuple[int, int
     return [bool(x) for x in side]
 
 
-def invented_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str, bool]]]]:
-    """Pages from a small grammar, with each block's text and whether it is content."""
+def invented_pages(n: int, seed: int = 7, odd: float = 0.0) -> Iterator[tuple[str, list[tuple[str, bool]]]]:
+    """Pages from a small grammar, with each block's text and whether it is content. The share ``odd`` of
+    content bears a name of boilerplate, and of boilerplate no name at all."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("aeioubcdfglmnprst") for _ in range(r.randint(1, 9)))
     say = lambda a, b, end="": " ".join(word() for _ in range(r.randint(a, b))) + end
@@ -259,6 +286,8 @@ def invented_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
         def apart() -> str:
             kind = r.choice(["nav", "footer", "aside", "form", "class", "class", "class"])
             tag, name = ("div", f" class='{r.choice(BAD_NAMES)}'") if kind == "class" else (kind, "")
+            if odd and r.random() < odd:
+                tag, name = "div", ""
             inner = listed() if r.random() < 0.4 else "".join(f"<p>{put(say(1, 25, r.choice(['.', '', '!'])), False)}</p>" for _ in range(r.randint(1, 3)))
             return f"<{tag}{name}>{inner}</{tag}>"
 
@@ -273,23 +302,33 @@ def invented_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[str,
                 body.append("<ul>" + "".join(f"<li>{put(say(2, 12), True)}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
             elif kind < 0.28:
                 body.append(apart())
+            elif odd and r.random() < 3 * odd:
+                body.append(f"<p class='{r.choice(BAD_NAMES)}'>{put(say(1, 25, r.choice(['.', '', '!'])), False)}</p>")
             else:
-                body.append(f"<p>{put(say(1, 60, '.'), True)}</p>")
+                mark = f" class='{r.choice(BAD_NAMES)}'" if odd and r.random() < odd else ""
+                body.append(f"<p{mark}>{put(say(1, 60, '.'), True)}</p>")
         parts.append(f"<{tag}>{''.join(body)}</{tag.split()[0]}>")
         parts += [apart() for _ in range(r.randint(0, 3))]
         yield f"<html><body>{''.join(parts)}</body></html>", told
 
 
+#: Steps in the tree that a difference of names counts as.
+CONTRAST = 3
+#: Share of odd blocks in the pages that the classifier learns from, so that no sign is certain and
+#: neighbours can outweigh it.
+ODD = 0.03
+
+
 @lru_cache(1)
 def train(n: int = 400) -> tuple[float, ...]:
     """Weights and intercept of the block classifier."""
     x, y = [], []
-    for page, told in invented_pages(n):
+    for page, told in invented_pages(n, odd=ODD):
         found = blocks(page)
         if [b.text for b in found] == [t for t, _ in told]:
             x.append(features(found))
             y += [c for _, c in told]
-    return logistic(np.concatenate(x), np.array(y, float))
+    return logistic(np.concatenate(x), np.array(y, float), ridge=0.005)
 
 
 def content(page: str | None, weights: tuple[float, ...]) -> list[str]:

@@ -350,6 +350,36 @@ def test_html(spark):
     assert {r.page_id: len(r.text) for r in html_main.html_main(rows).collect()} == {1: 0, 2: 0, None: 61}
 
 
+def test_neighbours_outweigh_a_doubtful_block():
+    weights = html_main.train()
+    long = " ".join(["plain"] * 40) + "."
+    for page, kept in ((f"<body><div><p>{long}</p><p><a href='/x'>this linked line</a></p><p>{long}</p></div></body>", True), ("<body><div><p><a href='/x'>this linked line</a></p></div></body>", False)):
+        found = html_main.blocks(page)
+        odds = html_main.features(found) @ np.array(weights[:-1]) + weights[-1]
+        assert [o < 0 for b, o in zip(found, odds, strict=True) if b.linked > 0.5] == [True]
+        assert ("this linked line" in html_main.content(page, weights)) == kept
+
+
+def test_adverts_notices_and_comments_inside_an_article_go():
+    weights, long = html_main.train(), " ".join(["plain"] * 30) + "."
+    for odd in ("<div class='ad'><p>Buy now this thing of ours for less money.</p></div>", "<p class='notice'>We use cookies on this site.</p>", f"<div class='comments'><p>{long} I agree.</p></div>", "<form>Your name <input></form>", "<aside><p>Read more here.</p></aside>"):
+        page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{long}</p>{odd}<p>{long} two</p></article><footer>us</footer>"
+        assert html_main.content(page, weights) == ["Title", long, f"{long} two"]
+
+
+def test_deeply_nested_pages_take_linear_time(spark):
+    import time
+
+    weights = html_main.train()
+    began = time.time()
+    assert html_main.content("<div>" * 60_000 + "x</b></i>y" * 60_000, weights) != None  # noqa: E711
+    assert html_main.content("<i>" * 60_000 + "<b>x</b></p>" * 20_000, weights) != None  # noqa: E711
+    assert time.time() - began < 20
+    rows = [(7, "u", "<p>one</p>"), (7, "u", "<p>one</p>"), (8, "v", "<p>" + "long text " * 100_000)]
+    odd = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    assert Counter((r.page_id, len(r.text)) for r in html_main.html_main(odd).collect()) == {(7, 3): 2, (8, 999_999): 1}
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(6)
     for _ in range(150):
