@@ -16,10 +16,10 @@ null conv_ids make one conversation. Empty assistant texts have no tokens.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +73,19 @@ def tokenizer(path: str):
     return t
 
 
-def masked(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first token, end token) of each span: the tokens inside it; both lists are ascending."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    return [(bisect_left(starts, a), max(bisect_left(starts, a), bisect_right(ends, b))) if a < b else (0, 0) for a, b in spans]
+def masked(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """(first token, end token) of each span: the tokens inside it; offsets and spans are ascending."""
+    begins, ends = np.array(spans, np.int64).reshape(-1, 2).T
+    first = np.searchsorted(offsets[:, 0], begins, "left")
+    last = np.maximum(first, np.searchsorted(offsets[:, 1], ends, "right"))
+    return np.where((begins < ends)[:, None], np.column_stack([first, last]), 0)
+
+
+def _pairs(rows: list[np.ndarray]) -> pa.Array:
+    """Lists of pairs, without a Python object for each."""
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros((0, 2), np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(flat) + 1, 2, dtype=np.int32)), pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), inner)
 
 
 def _formatted(path: str):
@@ -87,10 +96,10 @@ def _formatted(path: str):
             for turns in batch.column(1).to_pylist():
                 text, spans = render([(t["role"], t["text"]) for t in turns])
                 coded = coder.encode(text, add_special_tokens=False)
-                for column, value in zip(out, (text, coded.ids, [list(o) for o in coded.offsets], [list(r) for r in masked(coded.offsets, spans)]), strict=True):
+                offsets = np.array(coded.offsets, np.int32).reshape(-1, 2)
+                for column, value in zip(out, (text, np.array(coded.ids, np.int32), offsets, masked(offsets, spans)), strict=True):
                     column.append(value)
-            pairs = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pairs), pa.array(out[3], pairs)], names=["conv_id", "formatted", "ids", "offsets", "learned"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), _pairs(out[2]), _pairs(out[3])], names=["conv_id", "formatted", "ids", "offsets", "learned"])
 
     return format_
 
@@ -106,13 +115,14 @@ def format_chats(conversations: DataFrame, path: str | None = None) -> DataFrame
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for text, offsets, learned in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for text, offsets, learned in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             turns = parse(text)
-            loss = "".join(unescape(text[offsets[a][0] : offsets[b - 1][1]]) for a, b in learned if a < b)
+            at = offsets.values.flatten().to_numpy().reshape(-1, 2)
+            loss = "".join(unescape(text[at[a, 0] : at[b - 1, 1]]) for a, b in learned if a < b)
             told = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
             for column, value in zip(out, (len(turns), told, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)), strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
