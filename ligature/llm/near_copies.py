@@ -11,9 +11,9 @@ of random texts, 0.93 share a key at a similarity of 0.82 and all measured ones
 lose less, as copies are linked through each other. A test compares groups to those of all pairs.
 
 All pairs of a bucket aren't made. In each of a few rounds a bucket's member of least hash is its
-centre, and a set is compared to one centre of its buckets, that of least hash, so a round has at
-most one pair a set; then those of a bucket that are still in different components are compared to
-each other. Pairs within a component change nothing.
+centre, and a set is compared to one centre, that of least hash, of its buckets in each of TRIES
+groups of bands, so a round has at most TRIES pairs a set; then those of a bucket that are still in
+different components are compared to each other. Pairs within a component change nothing.
 
 Shingles are 64-bit hashes of lower-cased words; texts of fewer words have one. Equal sets are one
 row. Null and wordless texts have the empty set, linked like any other. Rows are numbered once and
@@ -45,8 +45,8 @@ NEAREST = 5
 RANKS = np.array([c for c in product(range(NEAREST), repeat=3) if (c[0] + 1) * (c[1] + 1) * (c[2] + 1) <= PROBES])
 #: Bits of two fingerprints that may differ: six deviations above the mean at a similarity of 0.8.
 FAR = 80
-#: Rounds that link a bucket's members to a centre.
-ROUNDS = 3
+#: Rounds that link a bucket's members to centres, and centres that a set is compared to in each.
+ROUNDS, TRIES = 3, 4
 _MIX = np.array(splitmix(2 * -(-SEGMENTS * BITS // 64), SEED), np.uint64).reshape(-1, 2) | np.uint64(1)
 
 
@@ -150,14 +150,20 @@ def _ordered(x: str, y: str, pairs: DataFrame) -> DataFrame:
     return written(pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
 
 
+def _group() -> Column:
+    """The group of a key's band."""
+    return F.pmod(F.col("key").bitwiseAND(F.lit(15)), F.lit(TRIES))
+
+
 def _centre(turn: int, of: str = "fp") -> Column:
-    """A bucket's member of least hash."""
-    return F.min_by(of, F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))
+    """A bucket's member of least hash, in an order of each group of bands."""
+    return F.min_by(of, F.struct(F.xxhash64("fp", _group(), F.lit(turn)), "fp"))
 
 
-def _one_each(turn: int, pairs: DataFrame) -> DataFrame:
-    """Of each set's pairs (fp, c) with centres the one whose centre has the least hash."""
-    return pairs.groupBy("fp").agg(F.min_by("c", F.struct(F.xxhash64("c", F.lit(turn)), "c")).alias("c")).where("c <> fp")
+def _few_each(turn: int, pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs (key, fp, c) with centres, the one of least hash in each group of bands."""
+    order = F.struct(F.xxhash64("c", _group(), F.lit(turn)), "c")
+    return pairs.groupBy("fp", _group().alias("of")).agg(F.min_by("c", order).alias("c")).where("c <> fp")
 
 
 def _split(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -173,13 +179,13 @@ def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: Dat
     # lists to join with are written first, so that adaptive execution can split a hot bucket's rows
     buckets = rows.groupBy("key").agg(F.count("*").alias("held"), _centre(0).alias("c")).where("held > 1").select("key", "c")
     shared = written(rows.join(written(buckets, "centres"), "key"), "shared")
-    links = _verified(_ordered("c", "fp", _one_each(0, shared)), base, classes, prints)
+    links = _verified(_ordered("c", "fp", _few_each(0, shared)), base, classes, prints)
     roots = components(links).select(F.col("node").alias("fp"), "root")
     for turn in range(1, ROUNDS):
         shared = _split(shared, roots)
         centres = written(shared.groupBy("key").agg(_centre(turn).alias("c"), _centre(turn, "root").alias("cr")), "centres")
         pairs = shared.join(centres, "key").where("cr <> root")
-        links = links.union(_verified(_ordered("c", "fp", _one_each(turn, pairs)), base, classes, prints))
+        links = links.union(_verified(_ordered("c", "fp", _few_each(turn, pairs)), base, classes, prints))
         roots = components(links).select(F.col("node").alias("fp"), "root")
     left = written(_split(shared, roots).join(prints, "fp"), "left")
     x, y = left.alias("x"), left.alias("y")
