@@ -10,10 +10,13 @@ share a key are joined, and links are verified on the whole sets, so no link is
 of random texts, 0.93 share a key at a similarity of 0.82 and all measured ones from 0.9 on; groups
 lose less, as copies are linked through each other. A test compares groups to those of all pairs.
 
-All pairs of a bucket aren't made. In each of a few rounds a bucket's member of least hash is its
-centre, and a set is compared to one centre, that of least hash, of its buckets in each of TRIES
-groups of bands, so a round has at most TRIES pairs a set; then those of a bucket that are still in
-different components are compared to each other. Pairs within a component change nothing.
+All pairs of a bucket aren't made. In each of a few rounds a bucket has a centre, and a set is
+compared to one centre of its buckets in each of TRIES groups of bands, so a round has at most TRIES
+pairs a set. First the member of least hash is centre. Then, in buckets whose members are still in
+several components, each set's own shingles are counted, those that no other set there has: the
+member with fewest, which is likest to the others, is centre, and sets whose own shingles alone
+rule out a link aren't compared at all. What is still in different components of a bucket after
+ROUNDS, and isn't ruled out, is compared to each other. Pairs within a component change nothing.
 
 Shingles are 64-bit hashes of lower-cased words; texts of fewer words have one. Equal sets are one
 row. Null and wordless texts have the empty set, linked like any other. Rows are numbered once and
@@ -156,40 +159,57 @@ def _group() -> Column:
 
 
 def _centre(turn: int, of: str = "fp") -> Column:
-    """A bucket's member of least hash, in an order of each group of bands."""
-    return F.min_by(of, F.struct(F.xxhash64("fp", _group(), F.lit(turn)), "fp"))
+    """A bucket's member with fewest own shingles and of least hash, in an order of each group of bands."""
+    return F.min_by(of, F.struct("own", F.xxhash64("fp", _group(), F.lit(turn)), "fp"))
 
 
 def _few_each(turn: int, pairs: DataFrame) -> DataFrame:
-    """Of each set's pairs (key, fp, c) with centres, the one of least hash in each group of bands."""
-    order = F.struct(F.xxhash64("c", _group(), F.lit(turn)), "c")
+    """Of each set's pairs (key, fp, c, co) with centres, the one with fewest own shingles and of least
+    hash in each group of bands."""
+    order = F.struct("co", F.xxhash64("c", _group(), F.lit(turn)), "c")
     return pairs.groupBy("fp", _group().alias("of")).agg(F.min_by("c", order).alias("c")).where("c <> fp")
 
 
 def _split(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, fp, root of buckets whose members are in several components."""
-    rooted = shared.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    """key, fp, root and other columns of buckets whose members are in several components."""
+    rooted = shared.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return written(rooted.join(written(several, "several"), "key"), "split")
 
 
+def _with_own(shared: DataFrame, base: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Rows of split buckets with n, bits and own: how many shingles no other set of these rows has.
+    Sets that so many rule out (similarity at most that of all others to all) leave."""
+    uids = written(classes.join(shared.select("fp").distinct(), "fp", "left_semi").select("uid"), "asked")
+    sets = texts_of(base).join(uids, "uid", "left_semi").mapInArrow(_sets, "fp long, shingles array<long>")
+    single = sets.select("fp", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("held"), F.min("fp").alias("fp")).where("held = 1")
+    own = written(single.groupBy("fp").agg(F.count("*").alias("own")), "own")
+    facts = prints.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).where("5 * (n - own) >= 4 * n")
+    return written(shared.drop("own").join(facts, "fp"), "facts")
+
+
 def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
     """(fp, root) of all linked sets of rows (key, fp)."""
     # lists to join with are written first, so that adaptive execution can split a hot bucket's rows
-    buckets = rows.groupBy("key").agg(F.count("*").alias("held"), _centre(0).alias("c")).where("held > 1").select("key", "c")
+    rows = rows.withColumn("own", F.lit(0).cast("long"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("held"), _centre(0).alias("c")).where("held > 1").select("key", "c", F.lit(0).alias("co"))
     shared = written(rows.join(written(buckets, "centres"), "key"), "shared")
     links = _verified(_ordered("c", "fp", _few_each(0, shared)), base, classes, prints)
     roots = components(links).select(F.col("node").alias("fp"), "root")
+    shared = _with_own(_split(shared.select("key", "fp"), roots), base, classes, prints)
     for turn in range(1, ROUNDS):
         shared = _split(shared, roots)
-        centres = written(shared.groupBy("key").agg(_centre(turn).alias("c"), _centre(turn, "root").alias("cr")), "centres")
+        centres = written(shared.groupBy("key").agg(_centre(turn).alias("c"), _centre(turn, "root").alias("cr"), F.min("own").alias("co")), "centres")
         pairs = shared.join(centres, "key").where("cr <> root")
         links = links.union(_verified(_ordered("c", "fp", _few_each(turn, pairs)), base, classes, prints))
         roots = components(links).select(F.col("node").alias("fp"), "root")
-    left = written(_split(shared, roots).join(prints, "fp"), "left")
+    left = _split(shared, roots)
     x, y = left.alias("x"), left.alias("y")
     near = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _could_be(("x.n", "y.n"), ("x.bits", "y.bits"))
+    # what two sets share is at most the rest of either, and they differ in what each has alone
+    total = F.col("x.n") + F.col("y.n")
+    near &= (9 * F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own")) >= 4 * total) & (9 * (F.col("x.own") + F.col("y.own")) <= total)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     links = links.union(_verified(_ordered("a", "b", pairs), base, classes, prints))
     return components(links).select(F.col("node").alias("fp"), "root")
