@@ -40,12 +40,27 @@ class Spark:
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * y), 0D, (s, x) -> s + x)"
 
-    def fixed(self, x: str, digits: int) -> str:
-        return f"format_string('%.{digits}f', {x})"
+    def fixed(self, x: str) -> str:
+        """Two decimals of a number from 0 to 100, its binary value rounded half to even: hundredths and
+        their rest come from whole multiples of 2**-49 and what those leave out, all exact."""
+        one, m = 1 << 49, f"cast(floor(({x}) * {1 << 49}D) as bigint)"
+        q, above = f"(({m} * 100) div {one})", f"(({m} * 100) % {one} - {one // 2} + 100D * (({x}) * {one}D - {m}))"
+        up = f"(case when {above} > 0 or ({above} = 0 and {q} % 2 = 1) then 1 else 0 end)"
+        return f"concat(cast(({q} + {up}) div 100 as string), '.', lpad(cast(({q} + {up}) % 100 as string), 2, '0'))"
+
+    def ordered(self, x: str, key: str, sep: str) -> str:
+        return f"array_join(transform(array_sort(collect_list(struct({key} as k, {x} as x))), s -> s.x), '{sep}')"
 
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def product(self, a: str, b: str) -> str:
+        return f"zip_with({a}, {b}, (x, y) -> cast(x as double) * y)"
+
+    def rounded(self, x: str) -> str:
+        """Millionths, as text."""
+        return f"transform({x}, v -> cast(cast(round(v * 1000000) as bigint) as string))"
+
     def try_double(self, x: str) -> str:
         return f"try_cast({x} as double)"
 
@@ -90,8 +105,17 @@ class Duck(Spark):
     def dot(self, a: str, b: str) -> str:
         return f"list_dot_product(list_transform({a}, lambda x: x::double), list_transform({b}, lambda x: x::double))"
 
-    def fixed(self, x: str, digits: int) -> str:
-        return f"printf('%.{digits}f', {x})"
+    def fixed(self, x: str) -> str:
+        return f"printf('%.2f', {x})"
+
+    def ordered(self, x: str, key: str, sep: str) -> str:
+        return f"string_agg({x}, '{sep}' order by {key})"
+
+    def product(self, a: str, b: str) -> str:
+        return f"list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double)"
+
+    def rounded(self, x: str) -> str:
+        return f"list_transform({x}, lambda v: round(v * 1000000)::bigint::varchar)"
 
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"

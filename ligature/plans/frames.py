@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligature.operators import fusion, graph, learning, text
 from ligature.plans.dialect import Duck, Spark
-from ligature.plans.relational import TABLES
-from ligature.session import table
+from ligature.plans.relational import placed, views_for
+from ligature.session import materialized, table
 from ligature.sources.views import chain
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    body = chain(f"select * from {name}").replace("{k_of_props}", Spark().json("props", "k"))
-    return spark.sql(reduce(lambda t, n: t.replace("{" + n + "}", f"parquet.`{sf_dir}/{n}.parquet`"), TABLES, body))
+    body = f"select * from {name}"
+    return spark.sql(placed(chain(body, views_for(spark, sf_dir, body)), Spark(), lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
 
 
 def duck(body: str) -> str:
-    body = chain(body).replace("{k_of_props}", Duck().json("props", "k"))
-    return reduce(lambda t, n: t.replace("{" + n + "}", n), TABLES, body)
+    return placed(chain(body, kept=True), Duck(), lambda t: t)
 
 
 def edges(spark, sf_dir):
-    return view(spark, sf_dir, "edges")
+    """Written once: a self-join that several steps read."""
+    return materialized(view(spark, sf_dir, "edges"), "edges")
 
 
 def articles(spark, sf_dir):

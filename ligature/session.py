@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir and read again, which cuts its lineage."""
+def materialized_path(df: DataFrame, name: str = "step") -> str:
+    """Where ``df`` is written: a folder of its own in that of spark.checkpoint.dir."""
     spark = df.sparkSession
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         if not spark.sparkContext.master.startswith("local"):
@@ -38,4 +38,9 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/ligature-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialized(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage."""
+    return df.sparkSession.read.schema(df.schema).parquet(materialized_path(df, name))

@@ -7,6 +7,8 @@ messy ids, groundings, usage rows. Where order matters there is a ``seq`` column
 
 from __future__ import annotations
 
+import re
+
 VIEWS: dict[str, str] = {
     "annotations": """select l_orderkey as pmid, 'S' || cast(l_suppkey as string) as entity_id, s_name as entity_text,
         case s_nationkey % 3 when 0 then 'Gene' when 1 then 'Disease' else 'Chemical' end as entity_type,
@@ -26,7 +28,7 @@ VIEWS: dict[str, str] = {
         from bought a join bought b on a.o = b.o and a.p < b.p join edges e on e.u = a.p and e.v = b.p""",
     "typed": "select 'P' || cast(p_partkey as string) as id, p_name as name, p_type as type, p_brand as brand, p_size as size from {part}",
     "shared_orders": "select a.entity as a, b.entity as b, count(*) as n from mentions a join mentions b on a.pmid = b.pmid and a.entity < b.entity group by a.entity, b.entity",
-    "interactions": "select a as a, b as b, n / (max(n) over () * 1.0E0) as score from shared_orders",
+    "interactions": "select a as a, b as b, n / ((select max(n) from shared_orders) * 1.0E0) as score from shared_orders",
     "pairs": "select a, b, n as n_ab from shared_orders",
     "doc_counts": "select entity, count(*) as n from mentions group by entity",
     "pmi": """select p.a, p.b, n_ab, x.n as n_a, y.n as n_b,
@@ -50,20 +52,25 @@ VIEWS: dict[str, str] = {
 
 
 
-def chain(body: str) -> str:
-    """``body`` with the views it reads, directly or not, as common table expressions."""
-    import re
+def uses(body: str, name: str, views: dict[str, str] = VIEWS) -> int:
+    """How often a view would be evaluated where ``body`` is planned with its views inlined."""
+    found = re.findall(r"(?:from|join|,)\s+(\w+)\b", body)
+    return sum(1 if x == name else uses(views[x], name, views) for x in found if x in views)
+
 
+def chain(body: str, views: dict[str, str] = VIEWS, kept: bool = False) -> str:
+    """``body`` with the views it reads, directly or not, as common table expressions; ``kept`` asks the
+    engine to evaluate each once."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for name in VIEWS:
+        for name in views:
             if re.search(rf"(?:from|join|,)\s+{name}\b", text) and name not in needed:
-                visit(VIEWS[name])
+                visit(views[name])
                 needed.append(name)
 
     visit(body)
     if not needed:
         return body
-    ctes = ", ".join(f"{n} as ({VIEWS[n]})" for n in needed)
+    ctes = ", ".join(f"{n} as {'materialized ' if kept else ''}({views[n]})" for n in needed)
     return f"with {ctes}, {body.strip()[5:]}" if body.strip().startswith("with ") else f"with {ctes} {body.strip()}"
