@@ -37,6 +37,47 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return ranks.select("node", "rank")
 
 
+def pagerank_converged(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+    """(node, rank) over directed edges (u, v), parallel ones each counting: rounds go on until the ranks
+    of n nodes change by less than n times the tolerance in sum. No edges give no rows."""
+    links = edges.groupBy("u", "v").agg(F.count("*").alias("n"))
+    out = links.groupBy("u").agg(F.sum("n").alias("out"))
+    links = materialized(links.join(out, "u").select("u", "v", (F.col("n") / F.col("out")).alias("share")), "links")
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    nodes = materialized(nodes.join(links.select(F.col("u").alias("node"), F.lit(True).alias("leads")).distinct(), "node", "left"), "nodes")
+    n = nodes.count()
+    ranks = nodes.select("node", "leads", F.lit(1.0 / max(n, 1)).alias("rank"))
+    for _ in range(most):
+        loose = ranks.where("leads is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+        flow = links.join(ranks.select(F.col("node").alias("u"), "rank"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n) if n else F.lit(0.0)
+        ranks = materialized(ranks.join(flow, "node", "left").crossJoin(F.broadcast(loose)).select("node", "leads", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
+        if (ranks.agg(F.sum("change")).first()[0] or 0.0) < n * tolerance:
+            break
+    return ranks.select("node", "rank")
+
+
+def closeness_inward(edges: DataFrame) -> DataFrame:
+    """(node, closeness) of every node over the directed paths that lead to it, scaled by the share of
+    nodes that reach it; 0 where none does."""
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    nodes = materialized(both_ways(edges).select(F.col("u").alias("node")).distinct(), "nodes")
+    n = nodes.count()
+    found = distances(back).where("distance > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
+    value = F.col("r") / F.col("d") * F.col("r") / F.lit(max(n - 1.0, 1.0))
+    return nodes.join(found, "node", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+
+
+def betweenness_directed(edges: DataFrame, block: int = 4096) -> DataFrame:
+    """(node, betweenness) of every node over directed shortest paths, as a share of the ordered pairs of
+    other nodes."""
+    nodes = materialized(both_ways(edges).select(F.col("u").alias("node")).distinct(), "nodes")
+    n = nodes.count()
+    found = betweenness(edges, block=block, directed=True)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return nodes.join(found, "node", "left").select("node", (F.coalesce("betweenness", F.lit(0.0)) * scale).alias("betweenness"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each can reach, by hooking and pointer jumping."""
     links = materialized(both_ways(edges), "links")
@@ -92,10 +133,10 @@ def simple_paths(edges: DataFrame, start: int, end: int, cutoff: int) -> DataFra
     return found
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None, block: int = 4096) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None, block: int = 4096, directed: bool = False) -> DataFrame:
     """(node, betweenness): shortest paths from each source, or from every node, that pass a node, of
     any length or at most ``depth`` steps. Sources go in blocks of about ``block``, whose sums add up."""
-    links = materialized(both_ways(edges), "links")
+    links = materialized(edges.select("u", "v").distinct() if directed else both_ways(edges), "links")
     if sources is None:
         sources = links.select(F.col("u").alias("source")).distinct()
     sources = materialized(sources.select("source"), "sources")
@@ -123,7 +164,7 @@ def _dependencies(links: DataFrame, sources: DataFrame, depth: int | None) -> Da
         own = materialized(own, "own")
         total = own if total is None else total.union(own)
         upper = levels[[i for i, f in enumerate(levels) if f is front][0] - 1]
-        x = own.select("source", F.col("node").alias("w"), F.col("paths").alias("paths_w"), "carried").join(links.select(F.col("u").alias("w"), F.col("v").alias("node")), "w")
+        x = own.select("source", F.col("node").alias("w"), F.col("paths").alias("paths_w"), "carried").join(links.select(F.col("v").alias("w"), F.col("u").alias("node")), "w")
         below = x.join(upper.select("source", "node", "paths"), ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("paths_w") * (1 + F.col("carried"))).alias("carried"))
     if total is None:
         return sources.select(F.col("source").alias("node"), F.lit(0.0).alias("betweenness")).limit(0)
@@ -154,3 +195,30 @@ def walks(edges: DataFrame, length: int, per_node: int, seed: int = 42) -> DataF
         if step % 5 == 4:
             paths = materialized(paths, "walks")
     return paths
+
+
+def node2vec_walks(edges: DataFrame, p: float = 1.0, q: float = 1.0, length: int = 80, per_node: int = 10, seed: int = 42) -> DataFrame:
+    """(walk, start, path): second-order random walks. The next node weighs 1/p if it is the one before,
+    1 if that is its neighbour, else 1/q; choices are hashes of walk and step. A row holds the
+    neighbours of one node at a time, and steps are written every few rounds."""
+    ordered = materialized(both_ways(edges).groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("next")), "next")
+    numbers = ordered.sparkSession.range(per_node).withColumnRenamed("id", "walk")
+    paths = ordered.select(F.col("u").alias("start")).crossJoin(F.broadcast(numbers))
+    paths = paths.withColumns({"path": F.array("start"), "near": F.array().cast("array<bigint>")})
+    for step in range(length - 1):
+        joined = paths.join(ordered, F.element_at("path", -1) == ordered.u)
+        if p == q == 1.0:
+            place = F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.size("next")).cast("int")
+            chosen = F.get("next", place)
+        else:
+            share = F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+            joined = joined.withColumn("before", F.try_element_at("path", F.lit(-2)))
+            joined = joined.withColumn("weights", F.transform("next", lambda x: F.when(F.col("before").isNull(), 1.0).when(x == F.col("before"), 1.0 / p).when(F.array_contains("near", x), 1.0).otherwise(1.0 / q)))
+            joined = joined.withColumn("goal", share * F.aggregate("weights", F.lit(0.0), lambda a, w: a + w))
+            start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+            found = F.aggregate("weights", start, lambda a, w: F.struct((a["sum"] + w).alias("sum"), F.when(a["sum"] + w <= F.col("goal"), a["at"] + 1).otherwise(a["at"]).alias("at")))
+            chosen = F.get("next", F.least(found["at"], F.size("next") - 1))
+        paths = joined.select("walk", "start", F.array_append("path", chosen).alias("path"), F.col("next").alias("near"))
+        if step % 8 == 7:
+            paths = materialized(paths, "walks")
+    return paths.select("walk", "start", "path")

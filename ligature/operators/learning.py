@@ -91,3 +91,29 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     ranked = tied.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
     return ranked.agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+
+
+def node_embeddings(walks: DataFrame, size: int = 32, window: int = 5, rounds: int = 1, seed: int = 42) -> DataFrame:
+    """(node, embedding) by skip-gram over walks (path): nodes are the words, walks the sentences."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    said = walks.select(F.col("path").cast("array<string>").alias("path"))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=rounds, seed=seed, inputCol="path", outputCol="v").fit(said)
+    return model.getVectors().select(F.col("word").cast("long").alias("node"), vector_to_array("vector").alias("embedding"))
+
+
+def pair_features(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with the product of their embeddings; pairs with an unknown node leave."""
+    a, b = (embeddings.select(F.col("node").alias(end), F.col("embedding").alias(name)) for end, name in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").withColumn("features", hadamard("a", "b")).drop("a", "b")
+
+
+def average_precision(scored: DataFrame) -> DataFrame:
+    """Average precision of (score, y), equal scores counting together; one row."""
+    from pyspark.sql import Window
+
+    tied = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = tied.select("pos", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("rows"))
+    return seen.agg((F.sum(F.col("pos") * F.col("tp") / F.col("rows")) / F.sum("pos")).alias("ap"))

@@ -109,7 +109,7 @@ class Duck(Spark):
         return f"printf('%.2f', {x})"
 
     def ordered(self, x: str, key: str, sep: str) -> str:
-        return f"string_agg({x}, '{sep}' order by {key})"
+        return f"string_agg({x}, '{sep}' order by {key}, {x})"
 
     def product(self, a: str, b: str) -> str:
         return f"list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.operators import fusion, graph, learning, text
+from ligature.operators import build, fusion, graph, learning, text
 from ligature.plans.dialect import Duck, Spark
 from ligature.plans.relational import placed, views_for
 from ligature.session import materialized, table
@@ -213,11 +213,90 @@ def prompt_assembly(spark, sf_dir):
 _PROMPT = f"select c.source, c.chunk, string_agg('PMID ' || c.pmid || ':' || chr(10) || n.numbered, chr(10) || chr(10) order by c.pmid) as prompt from ({{chunks}}) c join ({_NUMBERED}) n on n.pmid = c.pmid group by c.source, c.chunk"
 
 
+def pagerank(spark, sf_dir):
+    return graph.pagerank_converged(edges(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
+
+
+def closeness_inward(spark, sf_dir):
+    return graph.closeness_inward(edges(spark, sf_dir)).select("node", F.round("closeness", 9).alias("closeness"))
+
+
+def betweenness_directed(spark, sf_dir):
+    return graph.betweenness_directed(edges(spark, sf_dir)).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+def _live(spark, sf_dir):
+    """The live graph's inputs: annotated names with synonyms among them, interactions, and literature
+    that writes names in other ways."""
+    a = view(spark, sf_dir, "annotations").withColumn("entity_text", F.expr("case entity_id when 'S1' then 'OX-1R' when 'S2' then 'orexin receptor 1' when 'S3' then 'abeta' else entity_id end")).withColumn("entity_type", F.expr("case when entity_id in ('S4', 'S5') then 'unknown' else entity_type end"))
+    a = a.select("pmid", "entity_text", "entity_type", (F.col("pmid") * 10_000_000_000 + F.col("seq")).alias("seq"))
+    i = view(spark, sf_dir, "interactions").where("score >= 0.6").selectExpr("a", "b", "round(score, 6) as score", "cast(substr(a, 2) as bigint) * 1000000 + cast(substr(b, 2) as bigint) as seq")
+    p = materialized(view(spark, sf_dir, "pairs"), "pairs").where("n_ab % 4 = 1")
+    l = p.selectExpr("lower(a) as entity1", "case when n_ab % 8 = 1 then 'Amyloid-Beta' else b end as entity2", "case n_ab % 3 when 0 then 'Activates' when 1 then 'binds' else 'regulates' end as relationship", "case when n_ab % 8 = 5 then 0.7D end as confidence", "n_ab as pmid", "a || b as evidence_text", "cast(substr(a, 2) as bigint) * 1000000 + cast(substr(b, 2) as bigint) as seq")
+    return build.live_graph(a, i, l)
+
+
+def live_graph_relations(spark, sf_dir):
+    r = _live(spark, sf_dir)[1]
+    total = F.aggregate("evidence", F.lit(0.0), lambda x, e: x + e.confidence)
+    return r.select("source", "target", "relation_type", F.size("evidence").cast("long").alias("n_evidence"), F.round(total, 4).alias("confidence"), F.array_join(F.array_sort(F.transform("evidence", lambda e: e.source_id)), ",").alias("source_ids"))
+
+
+def live_graph_entities(spark, sf_dir):
+    return _live(spark, sf_dir)[0].select("id", "type", "name")
+
+
+_LIVE_SQL = """ann as (select pmid, entity_text as raw, ty, sq, case when entity_text in ('OX-1R', 'orexin receptor 1') then 'HCRTR1' when entity_text = 'abeta' then 'APP' else entity_text end as id from (
+      select pmid, case entity_id when 'S1' then 'OX-1R' when 'S2' then 'orexin receptor 1' when 'S3' then 'abeta' else entity_id end as entity_text, lower(case when entity_id in ('S4', 'S5') then 'unknown' else entity_type end) as ty, pmid * 10000000000 + seq as sq from annotations) z),
+    inter as (select a, b, round(score, 6) as score from interactions where score >= 0.6),
+    lit as (select lower(a) as source, case when n_ab % 8 = 1 then 'APP' else b end as target, case n_ab % 3 when 0 then 'activates' when 1 then 'associated_with' else 'regulates' end as kind, case when n_ab % 8 = 5 then 0.7 else 0.5 end as conf, n_ab as pmid, cast(substr(a, 2) as bigint) * 1000000 + cast(substr(b, 2) as bigint) as sq, lower(a) as raw1, case when n_ab % 8 = 1 then 'Amyloid-Beta' else b end as raw2 from pairs where n_ab % 4 = 1)"""
+_LIVE_RELATIONS = f"""with {_LIVE_SQL}, held as (select distinct pmid, id from ann),
+    ev as (select x.id as source, y.id as target, 'cooccurs_with' as relation_type, 'PMID:' || x.pmid as sid, 0.3 as conf, 1 as o from held x join held y on x.pmid = y.pmid and x.id < y.id
+      union all select a, b, 'interacts_with', 'STRING:' || a || '-' || b, score, 1 from inter union all select source, target, kind, 'PMID:' || pmid, conf, sq from lit)
+    select source, target, relation_type, count(*) as n_evidence, round(sum(conf), 4) as confidence, string_agg(sid, ',' order by sid) as source_ids from (select source, target, relation_type, sid, min_by(conf, o) as conf from ev group by source, target, relation_type, sid) q group by source, target, relation_type"""
+_LIVE_ENTITIES = f"""with {_LIVE_SQL}, words as (select w, max_by(ty, sq) as ty from (select raw as w, ty, sq from ann union all select lower(raw), ty, sq from ann union all select upper(raw), ty, sq from ann union all select replace(replace(replace(lower(raw), '-', ''), '_', ''), ' ', ''), ty, sq from ann
+      union all select id, ty, sq from ann where id <> raw union all select lower(id), ty, sq from ann where id <> raw) q where ty <> 'unknown' group by w),
+    noted as (select id, max_by(ty, sq) as ty from ann group by id), prot as (select a as id from inter union select b from inter),
+    reads as (select id, min_by(raw, sq) as raw from (select source as id, raw1 as raw, sq from lit union all select target, raw2, sq from lit) q group by id),
+    told as (select r.id, coalesce(a.ty, b.ty, c.ty, d.ty, 'unknown') as ty from reads r left join words a on a.w = r.id left join words b on b.w = r.raw left join words c on c.w = lower(r.raw) left join words d on d.w = replace(replace(replace(lower(r.raw), '-', ''), '_', ''), ' ', '')),
+    firsts as (select i.id, case when p.id is not null then 'protein' else coalesce(n.ty, t.ty) end as ty from (select id from noted union select id from prot union select id from told) i left join prot p on p.id = i.id left join noted n on n.id = i.id left join told t on t.id = i.id)
+    select f.id, case when f.ty = 'unknown' then coalesce(a.ty, b.ty, c.ty, d.ty, f.ty) else f.ty end as type, f.id as name from firsts f left join words a on a.w = replace(replace(replace(lower(f.id), '-', ''), '_', ''), ' ', '') left join words b on b.w = f.id left join words c on c.w = lower(f.id) left join words d on d.w = upper(f.id)"""
+
+
+def component_delta(spark, sf_dir):
+    """Components of the graph before and after relations that only occur together have left."""
+    r = view(spark, sf_dir, "relations").select(F.substring("source", 2, 20).cast("long").alias("u"), F.substring("target", 2, 20).cast("long").alias("v"), "relation_type")
+    r = materialized(r, "relations")
+    count = lambda e: graph.connected_components(e).select("component").distinct().count()
+    return spark.createDataFrame([(count(r.select("u", "v")), count(r.where("relation_type <> 'cooccurs_with'").select("u", "v")))], "components_before long, components_after long")
+
+
+
+
+def node2vec_link_prediction(spark, sf_dir, p: float = 1.0, q: float = 1.0, length: int = 20, per_node: int = 4):
+    """AUC and average precision of held-out edges by strategy of negatives: walks and embeddings of the
+    training edges, products of embeddings, logistic regression trained against random negatives."""
+    e = edges(spark, sf_dir).select("u", "v")
+    held = learning.is_test()
+    train, test = materialized(e.where(~held), "train"), materialized(e.where(held), "test")
+    vectors = materialized(learning.node_embeddings(graph.node2vec_walks(train, p, q, length, per_node)), "vectors")
+    n, m = train.count(), test.count()
+    labelled = train.withColumn("y", F.lit(1)).union(learning.random_negatives(e, n, 7).withColumn("y", F.lit(0)))
+    model = learning.train(materialized(learning.pair_features(labelled, vectors), "features"))
+    out = None
+    for name, f in (("random", learning.random_negatives), ("two_hop", learning.two_hop_negatives), ("degree", learning.degree_matched_negatives), ("combined", learning.combined_negatives)):
+        rows = test.withColumn("y", F.lit(1)).union(f(e, m).select("u", "v").withColumn("y", F.lit(0)))
+        scored = materialized(learning.predict(model, learning.pair_features(rows, vectors)).select("score", "y"), "scored")
+        row = learning.roc_auc(scored).crossJoin(learning.average_precision(scored)).select(F.lit(name).alias("strategy"), F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def negatives(f):
     return lambda spark, sf_dir: f(edges(spark, sf_dir), 1000)
 
 
-QUERIES = {f.__name__: f for f in (edge_fusion, flagship_fused_pairs, pagerank_k10, connected_components, shortest_path, closeness, betweenness, communities, simple_paths_cutoff, annotate_path, node2vec_walks, lr_train_score, predict_pairs, eval_strategies, hypothesis_record, sentence_split, sentence_number, greedy_chunks, provenance_indexed, evidence_from_indices, evidence_fuzzy, prompt_assembly)}
+QUERIES = {f.__name__: f for f in (edge_fusion, flagship_fused_pairs, pagerank_k10, connected_components, shortest_path, closeness, betweenness, communities, simple_paths_cutoff, annotate_path, node2vec_walks, lr_train_score, predict_pairs, eval_strategies, hypothesis_record, sentence_split, sentence_number, greedy_chunks, provenance_indexed, evidence_from_indices, evidence_fuzzy, prompt_assembly, pagerank, closeness_inward, betweenness_directed, live_graph_relations, live_graph_entities, component_delta, node2vec_link_prediction)}
 QUERIES |= {"neg_random": negatives(learning.random_negatives), "neg_two_hop": negatives(learning.two_hop_negatives), "neg_degree_matched": negatives(learning.degree_matched_negatives), "neg_combined": negatives(learning.combined_negatives)}
 
 
@@ -232,6 +311,8 @@ ORACLE = {
     "connected_components": _recursive(duck(_COMPONENTS)),
     "shortest_path": _recursive(duck(_DIST.replace("{links}", "edges").replace("{depth}", "6"))),
     "closeness": _recursive(duck(_DIST.replace("{links}", "both_ways").replace("{depth}", "6").replace("select source, node, min(d) as distance from walk group by source, node", "select source as node, round(count(*) / sum(d)::double * count(*) / ((select count(distinct u) from both_ways) - 1.0), 9) as closeness from (select source, node, min(d) as d from walk group by source, node) z where d > 0 group by source"))),
+    "live_graph_relations": duck(_LIVE_RELATIONS),
+    "live_graph_entities": duck(_LIVE_ENTITIES),
     "simple_paths_cutoff": _recursive(duck(_PATHS)),
     "annotate_path": duck(_ANNOTATED),
     "hypothesis_record": duck(_HYPOTHESIS),

@@ -202,12 +202,22 @@ B["dedup_ncbi"] = lambda d: _NCBI
 B["dedup_case_insensitive"] = lambda d: f"select m.id, first_value(m.id) over (partition by {_SAME} order by case when substr(m.id, 1, 1) = upper(substr(m.id, 1, 1)) then 0 else 1 end, coalesce(g.degree, 0) desc, m.id) as canonical from messy m left join degrees g on 'P' || cast(g.node as string) = m.id"
 B["dedup_hgnc"] = lambda d: "select id, canonical from (select t.id, first_value(t.id) over (partition by g.db_id order by case when lower(t.id) = lower(t.name) then 0 else 1 end, t.id) as canonical from typed t join (select term, min(db_id) as db_id from groundings where db = 'HGNC' group by term) g on g.term = t.name) x"
 B["dedup_doid"] = lambda d: "select id, canonical from (select t.id, first_value(t.id) over (partition by replace(replace(lower(g.db_id), '''', ''), ' ', '_') order by t.id) as canonical from typed t join (select term, min(db_id) as db_id from groundings where db = 'DOID' group by term) g on g.term = t.name) x"
-B["remap_edges"] = lambda d: f"select source, target, relation_type, count(*) as merged, max(ml_score) as ml_score from (select coalesce(a.canonical, r.source) as source, coalesce(b.canonical, r.target) as target, r.relation_type, r.ml_score from relations r left join ({_NCBI}) a on a.id = r.source left join ({_NCBI}) b on b.id = r.target) x group by source, target, relation_type"
+_MAPPED = f"select r.source as old_source, r.target as old_target, coalesce(a.canonical, r.source) as source, coalesce(b.canonical, r.target) as target, r.relation_type, r.ml_score from relations r left join ({_NCBI}) a on a.id = r.source left join ({_NCBI}) b on b.id = r.target"
+B["remap_edges"] = lambda d: f"""select x.source, x.target, x.relation_type, x.merged, x.ml_score, coalesce(e.n_evidence, 0) as n_evidence, coalesce(e.source_ids, '') as source_ids from
+    (select source, target, relation_type, count(*) as merged, max(ml_score) as ml_score from ({_MAPPED}) m group by source, target, relation_type) x
+    left join (select m.source, m.target, m.relation_type, count(distinct e.source_id) as n_evidence, {d.joined('e.source_id', ',', True)} as source_ids from ({_MAPPED}) m join evidence e on e.source = m.old_source and e.target = m.old_target group by m.source, m.target, m.relation_type) e
+    on e.source = x.source and e.target = x.target and e.relation_type = x.relation_type"""
 B["alias_merge"] = lambda d: f"select canonical, {d.joined('id', ',', True)} as aliases, count(*) as n from ({_NCBI}) x where id <> canonical group by canonical"
 B["dedup_pipeline"] = lambda d: f"select id, first_value(step) over (partition by {_SAME} order by step) as canonical from (select m.id, m.name, coalesce(a.canonical, m.id) as step from messy m left join ({_NCBI}) a on a.id = m.id) x"
 # building
 B["entity_upsert_last_wins"] = lambda d: "select id, name, type from (select id, name, type, row_number() over (partition by id order by seq desc) as r from (select entity_id as id, entity_text as name, entity_type as type, pmid * 1000000000 + seq % 1000000000 as seq from annotations union all select id, name, type, cast(-1 as bigint) from typed) x) y where r = 1"
-B["relationship_upsert"] = lambda d: f"select source, target, max(confidence) as confidence, count(distinct source_id) as n_evidence, {d.joined('source_id', ',', True)} as source_ids from (select source, target, source_id, confidence from evidence union all select source, target, source_id, confidence from evidence where source_type = 'literature') x group by source, target"
+B["relationship_upsert"] = lambda d: f"""select x.source, x.target, x.relation_type, x.ml_score, x.reasoning, coalesce(a.type, 'unknown') as source_type, coalesce(b.type, 'unknown') as target_type, coalesce(e.n, 0) as n_evidence, coalesce(e.source_ids, '') as source_ids from (
+    select source, target, relation_type, max(ml_score) as ml_score, max(case when r = 1 then reasoning end) as reasoning from (
+    select *, row_number() over (partition by source, target, relation_type order by case when reasoning is null then 1 else 0 end, batch desc) as r from (
+    select source, target, relation_type, ml_score, case when seq % 2 = 0 then 'first' end as reasoning, 1 as batch from relations
+    union all select source, target, relation_type, ml_score * 0.9E0 + 0.06E0, case when seq % 3 = 0 then 'second' end, 2 from relations where seq % 5 < 3) u) v group by source, target, relation_type) x
+    left join typed a on a.id = x.source and a.size % 4 <> 0 left join typed b on b.id = x.target and b.size % 4 <> 0
+    left join (select source, target, count(distinct source_id) as n, {d.joined('source_id', ',', True)} as source_ids from (select source, target, source_id from evidence union all select source, target, source_id from evidence where source_type = 'literature') y group by source, target) e on e.source = x.source and e.target = x.target"""
 B["build_graph_live"] = lambda d: """select least(a, b) as source, greatest(a, b) as target, relation_type, max(score) as ml_score, count(*) as n_sources from (
     select a, b, 'interacts_with' as relation_type, round(score, 6) as score from interactions where score >= 0.4E0 union all select a, b, 'cooccurs_with', cast(null as double) from pairs where n_ab >= 2
     union all select a, b, 'activates', 0.7E0 from pairs where n_ab % 4 = 1) x group by least(a, b), greatest(a, b), relation_type"""
@@ -250,5 +260,8 @@ B["query_truncate"] = lambda d: f"select event_id, {d.replaced('q', ' AND [^A]*$
 B["evidence_exact_match"] = lambda d: "select d.doc_id, b.item_id from {documents} d join {benchmark} b on instr(lower(d.text), lower(b.text)) > 0"
 B["json_relationships_parse"] = lambda d: "select event_id, event_type as relation, cast({k_of_props} as double) / 100 as confidence from {events} where cast({k_of_props} as double) / 100 >= 0.5E0"
 
+B["centrality_topk"] = lambda d: "select node, degree / ((select count(distinct u) from both_ways) - 1.0E0) as centrality from degrees order by degree desc, node limit 10"
+B["ordered_entities"] = lambda d: f"select pmid, {d.ordered('entity_id', 'first', ',')} as entities from (select pmid, entity_id, min(seq) as first from annotations group by pmid, entity_id) x group by pmid"
+B["cooc_by_weight"] = lambda d: "select a, b, n_ab, round(pmi, 6) as pmi from pmi order by n_ab desc, a, b limit 100"
 QUERIES = {name: runner(name) for name in BODIES}
 ORACLE = {name: sql_for(name, Duck(), lambda t: t) for name in BODIES}
