@@ -49,7 +49,7 @@ RANKS = np.array([c for c in product(range(NEAREST), repeat=3) if (c[0] + 1) * (
 #: Bits of two fingerprints that may differ: six deviations above the mean at a similarity of 0.8.
 FAR = 80
 #: Rounds that link a bucket's members to centres, and centres that a set is compared to in each.
-ROUNDS, TRIES = 3, 4
+ROUNDS, TRIES = 2, 4
 _MIX = np.array(splitmix(2 * -(-SEGMENTS * BITS // 64), SEED), np.uint64).reshape(-1, 2) | np.uint64(1)
 
 
@@ -199,7 +199,7 @@ def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: Dat
     roots = components(links).select(F.col("node").alias("fp"), "root")
     shared = _with_own(_split(shared.select("key", "fp"), roots), base, classes, prints)
     for turn in range(1, ROUNDS):
-        shared = _split(shared, roots)
+        shared = shared if turn == 1 else _split(shared, roots)
         centres = written(shared.groupBy("key").agg(_centre(turn).alias("c"), _centre(turn, "root").alias("cr"), F.min("own").alias("co")), "centres")
         pairs = shared.join(centres, "key").where("cr <> root")
         links = links.union(_verified(_ordered("c", "fp", _few_each(turn, pairs)), base, classes, prints))
