@@ -16,7 +16,9 @@ pairs a set. First the member of least hash is centre. Then, in buckets whose me
 several components, each set's own shingles are counted, those that no other set there has: the
 member with fewest, which is likest to the others, is centre, and sets whose own shingles alone
 rule out a link aren't compared at all. What is still in different components of a bucket after
-ROUNDS, and isn't ruled out, is compared to each other. Pairs within a component change nothing.
+ROUNDS is compared by parities, bits of which each differing shingle turns one, so that as many bits
+as differ, at least as many shingles do. Only pairs that this doesn't rule out are made and verified;
+no link is lost. Pairs within a component change nothing.
 
 Shingles are 64-bit hashes of lower-cased words; texts of fewer words have one. Equal sets are one
 row. Null and wordless texts have the empty set, linked like any other. Rows are numbered once and
@@ -76,6 +78,13 @@ def digest(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each place, whether an odd number of hashes end in it; as many places as shingles, or more."""
+    width = max(64, 1 << (len(found) - 1).bit_length())
+    held = np.bincount((found.view(np.uint64) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sums(found: np.ndarray) -> np.ndarray:
     """For each bit of the fingerprint, shingles that set it less shingles that don't."""
     total = np.zeros(len(_MIX) * 64, np.int64)
@@ -121,8 +130,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits[:, : SEGMENTS * BITS] = margins > 0
         prints = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(len(sets), _LONGS)
         found = [np.unique(k) if len(x) else k[:0] for k, x in zip(keys(margins), sets, strict=True)]
-        columns = [batch.column(0), batch.column(1), pa.array([digest(x) for x in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(list(prints), pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "fp", "n", "bits", "keys"])
+        columns = [batch.column(0), batch.column(1), pa.array([digest(x) for x in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(list(prints), pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "fp", "n", "bits", "keys", "odd"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +146,18 @@ def _could_be(n: tuple, bits: tuple) -> Column:
     return (5 * F.least(*n) >= 4 * F.greatest(*n)) & (differ <= FAR)
 
 
+def _fewest_differing(x: Column, y: Column) -> Column:
+    """How many parities of two sets differ, hence a number of shingles that they don't share. Where one
+    has twice the places (sizes that could link differ by less), its halves are added up."""
+    width = F.least(F.size(x), F.size(y))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    x, y = (F.when(F.size(z) > width, F.zip_with(F.slice(z, 1, width), F.slice(z, width + 1, width), xor)).otherwise(z) for z in (x, y))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda total, bits: total + bits)
+
+
 def _verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of set digests that are similar enough, by their whole sets."""
+    prints = prints.select("fp", "n", "bits")
     pairs = pairs.join(prints.toDF("a", "na", "xa"), "a").join(prints.toDF("b", "nb", "xb"), "b")
     pairs = written(pairs.where(_could_be(("na", "nb"), ("xa", "xb"))).select("a", "b"), "possible")
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
@@ -179,7 +198,7 @@ def _split(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _with_own(shared: DataFrame, base: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Rows of split buckets with n, bits and own: how many shingles no other set of these rows has.
+    """Rows of split buckets with n, bits, odd and own: how many shingles no other set of these rows has.
     Sets that so many rule out (similarity at most that of all others to all) leave."""
     uids = written(classes.join(shared.select("fp").distinct(), "fp", "left_semi").select("uid"), "asked")
     sets = texts_of(base).join(uids, "uid", "left_semi").mapInArrow(_sets, "fp long, shingles array<long>")
@@ -210,6 +229,7 @@ def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: Dat
     # what two sets share is at most the rest of either, and they differ in what each has alone
     total = F.col("x.n") + F.col("y.n")
     near &= (9 * F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own")) >= 4 * total) & (9 * (F.col("x.own") + F.col("y.own")) <= total)
+    near &= 9 * _fewest_differing(F.col("x.odd"), F.col("y.odd")) <= total
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     links = links.union(_verified(_ordered("a", "b", pairs), base, classes, prints))
     return components(links).select(F.col("node").alias("fp"), "root")
@@ -218,13 +238,13 @@ def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: Dat
 def near_groups_of(base: DataFrame) -> DataFrame:
     """One row per row of a numbered table: uid, doc_id, fp, component_id (smallest doc_id reachable
     over similar pairs), and keep (uid of the row that stands for the component)."""
-    found = written(texts_of(base).mapInArrow(_signatures, "uid long, doc_id long, fp long, n int, bits array<long>, keys array<long>"), "signatures")
+    found = written(texts_of(base).mapInArrow(_signatures, "uid long, doc_id long, fp long, n int, bits array<long>, keys array<long>, odd array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = written(found.groupBy("fp").agg(F.min("uid").alias("uid"), F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.min_by("uid", order).alias("first")), "classes")
     # of equal sets one row is enough
     again = found.select("uid", "fp").join(written(classes.where("rows > 1").select("fp", F.col("uid").alias("own")), "repeated"), "fp").where("uid <> own")
     one = found.join(written(again.select("uid"), "again"), "uid", "left_anti")
-    roots = _all_links(one.select(F.explode("keys").alias("key"), "fp"), base, classes, one.select("fp", "n", "bits"))
+    roots = _all_links(one.select(F.explode("keys").alias("key"), "fp"), base, classes, one.select("fp", "n", "bits", "odd"))
     named = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("first", F.struct(F.col("least").isNull(), "least", "first")).alias("keep"))
     told = written(named.join(written(best, "best"), "root").select("fp", "component_id", "keep"), "told")

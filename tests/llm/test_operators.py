@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ligature.llm import bpe, chat, common, components, decontaminate, exact_dedup, html_main, licences, near_copies, simhash, suffix_dedup, toxicity
 
@@ -238,6 +239,20 @@ def test_near_copies_of_one_large_group_and_repeated_rows(spark):
     assert got == Counter({(i, 0): 1 + (i == 3) for i in range(150)}) + Counter([(None, 0), (500, 500), (501, 500)])
 
 
+def test_parities_never_differ_more_than_sets(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for n in (0, 1, 63, 64, 65, 120, 128, 129, 1000):
+        for fresh in (0, 1, n // 9, n // 5):
+            a = r.integers(-(1 << 63), 1 << 63, n)
+            b = np.concatenate([a[fresh // 2 :], r.integers(-(1 << 63), 1 << 63, fresh)])
+            rows.append((near_copies.parities(a).tolist(), near_copies.parities(b).tolist(), len(set(a.tolist()) ^ set(b.tolist()))))
+    found = spark.createDataFrame(rows, "x array<long>, y array<long>, differ int").select(near_copies._fewest_differing(F.col("x"), F.col("y")).alias("least"), "differ").collect()
+    assert all(x.least <= x.differ and (x.least > 0 or x.differ % 2 == 0) for x in found)
+    assert sum(x.least for x in found) > 0.7 * sum(x.differ for x in found)
+    assert any(len(x) != len(y) for x, y, _ in rows)
+
+
 def test_codewords_are_eight_apart():
     words = near_copies.code()
     fit = words @ words.T
