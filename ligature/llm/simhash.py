@@ -147,7 +147,8 @@ def links(distinct: DataFrame) -> DataFrame:
     lookups = distinct.mapInArrow(_keys(True), "key long, fp long").select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     near_enough = (F.col("a") < F.col("b")) & (F.bit_count(x) <= DISTANCE) & (_first_family(x) == F.col("i.key").bitwiseAND(F.lit(7)))
-    return index.alias("i").join(lookups.alias("l"), (F.col("i.key") == F.col("l.key")) & near_enough).select("a", "b")
+    # the planner takes mapInArrow's rows for as many as its input's and would broadcast all keys
+    return index.alias("i").join(lookups.hint("merge").alias("l"), (F.col("i.key") == F.col("l.key")) & near_enough).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:

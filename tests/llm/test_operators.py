@@ -205,6 +205,12 @@ def edited(r, texts):
     return texts
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    prints = common.written(spark.range(1000).select(F.xxhash64("id").alias("fp")), "prints")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_copies_are_the_groups_of_all_pairs(spark):
     import corpus_pipeline as p
 
