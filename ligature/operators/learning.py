@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligature.operators.graph import both_ways
+from ligature.session import materialized
 
 #: Draws of a degree-matched pair for each edge.
 DRAWS = 8
+#: Skip-gram: walks that a task trains on, passes over their pairs, pairs of a step, negatives of a pair, step size.
+SHARD, PASSES, BATCH, NEGATIVES, RATE = 20_000, 5, 4096, 5, np.float32(0.1)
 
 
 def hadamard(a: str = "a", b: str = "b") -> Column:
@@ -93,14 +99,100 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return ranked.agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
 
-def node_embeddings(walks: DataFrame, size: int = 32, window: int = 5, rounds: int = 1, seed: int = 42) -> DataFrame:
-    """(node, embedding) by skip-gram over walks (path): nodes are the words, walks the sentences."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def _init(nodes: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A small vector of each node from its number alone, so that all tasks begin with the same."""
+    z = nodes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1 + seed, 1 + seed + size, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    for shift in (30, 27):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(0x94D049BB133111EB)
+    return (((z >> np.uint64(40)).astype(np.float32) / (1 << 24)) - 0.5) / size
+
+
+def _pairs(owner: np.ndarray, at: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (centre, context) of walks with their weights; nearer contexts weigh more, by the share
+    of window sizes drawn from 1 to ``window`` that hold them."""
+    keys, weights = np.zeros(0, np.int64), np.zeros(0)
+    for d in range(1, window + 1):
+        same = owner[d:] == owner[:-d]
+        a, b = at[:-d][same], at[d:][same]
+        keys, place = np.unique(np.concatenate([keys, a * n + b, b * n + a]), return_inverse=True)
+        weights = np.bincount(place, np.concatenate([weights, np.full(2 * len(a), (window - d + 1) / window)]), len(keys))
+    return keys // n, keys % n, weights.astype(np.float32)
+
+
+def _step(vectors: np.ndarray, squares: np.ndarray, at: np.ndarray, slopes: np.ndarray) -> None:
+    """One AdaGrad step of the rows ``at``, which may repeat."""
+    order = np.argsort(at, kind="stable")
+    rows, first = np.unique(at[order], return_index=True)
+    total = np.add.reduceat(slopes[order], first, axis=0)
+    squares[rows] += (total * total).mean(1)
+    vectors[rows] -= RATE * total / np.sqrt(squares[rows])[:, None]
+
+
+def _skip_gram(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> None:
+    """Skip-gram with negative samples over weighted pairs, on centre vectors ``x`` and context vectors ``y``."""
+    drawn = np.cumsum(np.bincount(b, weights, len(x)) ** 0.75)
+    squares = np.full((2, len(x)), 1e-8, np.float32)
+    for _ in range(PASSES):
+        order = rng.permutation(len(a))
+        for at in range(0, len(order), BATCH):
+            i = order[at : at + BATCH]
+            u, v = a[i], b[i, None]
+            others = np.minimum(np.searchsorted(drawn, rng.random((len(i), NEGATIVES)) * drawn[-1], "right"), len(x) - 1)
+            c = np.concatenate([v, others], 1)
+            xu, yc = x[u], y[c]
+            slope = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", xu, yc), -30, 30)))
+            slope[:, 1:][others == v] = 0
+            slope[:, 0] -= 1
+            slope *= weights[i, None]
+            _step(x, squares[0], u, np.einsum("bk,bkd->bd", slope, yc))
+            _step(y, squares[1], c.ravel(), (slope[:, :, None] * xu[:, None, :]).reshape(-1, x.shape[1]))
+
+
+def _trained(size: int, window: int, seed: int):
+    def train_shard(walks: pa.Table, state: pa.Table) -> pa.Table:
+        """New vectors of the nodes of a shard's walks, and how often the walks hold each."""
+        paths = walks["path"].combine_chunks()
+        said = paths.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(paths)), pc.list_value_length(paths).to_numpy(zero_copy_only=False))
+        nodes, at, held = np.unique(said, return_inverse=True, return_counts=True)
+        x, y = _init(nodes, size, seed), np.zeros((len(nodes), size), np.float32)
+        if state.num_rows:
+            known = np.searchsorted(nodes, state["node"].to_numpy())
+            for vectors, name in ((x, "x"), (y, "y")):
+                vectors[known] = state[name].combine_chunks().flatten().to_numpy().reshape(-1, size)
+        a, b, weights = _pairs(owner, at, len(nodes), window)
+        if len(a):
+            _skip_gram(x, y, a, b, weights, np.random.default_rng([seed, len(paths), int(nodes[0]) & (1 << 63) - 1, bool(state.num_rows)]))
+        columns = [pa.array(nodes, pa.int64()), pa.array(held, pa.int64()), *(pa.array(list(v), pa.list_(pa.float32())) for v in (x, y))]
+        return pa.Table.from_arrays(columns, names=["node", "held", "x", "y"])
+
+    return train_shard
+
 
-    said = walks.select(F.col("path").cast("array<string>").alias("path"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=rounds, seed=seed, inputCol="path", outputCol="v").fit(said)
-    return model.getVectors().select(F.col("word").cast("long").alias("node"), vector_to_array("vector").alias("embedding"))
+def node_embeddings(walks: DataFrame, size: int = 32, window: int = 5, rounds: int = 1, seed: int = 42) -> DataFrame:
+    """(node, embedding) by skip-gram with negative samples: nodes are the words, walks (path) the sentences.
+
+    Vectors never meet in one place. Walks are dealt into shards of about SHARD walks, by their least
+    node as far as those of one node aren't more than a shard, so that small components stay whole. A
+    task trains the vectors of one shard's nodes; after each round a node's vectors are the mean over
+    its shards, weighted by how often their walks hold it, and the next round begins with them."""
+    walks = materialized(walks.select(F.col("path").cast("array<long>").alias("path"), F.array_min("path").alias("least")), "paths")
+    spark = walks.sparkSession
+    bins = max(1, -(-walks.count() // SHARD))
+    parts = walks.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("least", F.ceil(F.col("n") / SHARD).alias("parts"))
+    part = F.xxhash64("least", F.pmod(F.xxhash64("path"), F.col("parts")))
+    dealt = walks.join(materialized(parts, "parts"), "least", "left").select(F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("least"), F.lit(bins))).otherwise(part).alias("shard"), "path")
+    dealt = materialized(dealt, "dealt")
+    state = spark.createDataFrame([], "shard long, node long, x array<float>, y array<float>")
+    for turn in range(rounds):
+        if turn:
+            held = dealt.select("shard", F.explode("path").alias("node")).distinct()
+            state = materialized(held.join(vectors, "node").select("shard", "node", "x", "y"), "state")
+        found = dealt.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(_trained(size, window, seed), "node long, held long, x array<float>, y array<float>")
+        found = materialized(found, "found")
+        mean = lambda name, i: (F.sum(F.col(name)[i].cast("double") * F.col("held")) / F.sum("held")).cast("float")
+        vectors = materialized(found.groupBy("node").agg(*(F.array(*(mean(name, i) for i in range(size))).alias(name) for name in ("x", "y"))), "vectors")
+    return vectors.select("node", F.col("x").cast("array<double>").alias("embedding"))
 
 
 def pair_features(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:

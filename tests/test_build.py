@@ -4,6 +4,7 @@ import gzip
 import json
 import random
 
+import numpy as np
 import pytest
 
 from ligature.functions import names
@@ -188,3 +189,18 @@ def test_average_precision(spark):
     rows = [(0.9, 1), (0.8, 0), (0.8, 1), (0.3, 0), (0.2, 1)]
     got = learning.average_precision(spark.createDataFrame(rows, "score double, y int")).first()[0]
     assert abs(got - (1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 5)) < 1e-12
+
+
+@pytest.mark.parametrize("shard", [20_000, 40])
+def test_vectors_of_nodes_are_trained_in_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(learning, "SHARD", shard)
+    ring = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(10) for j in range(i + 1, 10)]
+    walks = graph.node2vec_walks(spark.createDataFrame(ring, "u long, v long"), length=10, per_node=8)
+    found = learning.node_embeddings(walks, rounds=2)
+    # from files, not from rows that the driver holds
+    assert "FileScan parquet" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "LocalTableScan" not in plan
+    v = {r.node: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in found.collect()}
+    assert set(v) == set(range(60)) and all(len(x) == 32 for x in v.values())
+    same = [v[a] @ v[b] for a in v for b in v if a < b and a // 10 == b // 10]
+    other = [v[a] @ v[b] for a in v for b in v if a < b and a // 10 != b // 10]
+    assert np.mean(same) > np.mean(other) + 0.3
