@@ -32,7 +32,7 @@ from ligature.llm.common import read, sliced, whole_text
 #: The pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, and words, that a worker remembers (twice so many at most), and the longest of them.
-REMEMBERED, LONGEST = 60_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -151,6 +151,8 @@ class Encoder:
 
     def unit(self, unit: str) -> bytes:
         """Ids of what stands between two borders of encode()."""
+        if unit.isascii() and unit.isalpha():  # one piece by the pattern
+            return self.packed(f" {unit}")
         text = unit if unit[:1] == "\n" else f" {unit}"
         return b"".join([self.pieces.get(p, self.packed) for p in self.find(text)])
 

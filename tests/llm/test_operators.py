@@ -205,6 +205,17 @@ def edited(r, texts):
     return texts
 
 
+def test_plain_words_are_one_piece_without_the_pattern(monkeypatch):
+    import tokenizers
+
+    coder, library = bpe.Encoder(bpe.default_path()), tokenizers.Tokenizer.from_file(bpe.default_path())
+    asked, find = [], coder.find
+    monkeypatch.setattr(coder, "find", lambda text: asked.append(text) or find(text))
+    text = "one two Three it's don't 's x2 naïve ab\ncd \u0345a ﬁne _ a"
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked and not {" two", " Three", " a"} & set(asked)
+
+
 def test_keys_of_fingerprints_are_not_broadcast(spark):
     prints = common.written(spark.range(1000).select(F.xxhash64("id").alias("fp")), "prints")
     plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
