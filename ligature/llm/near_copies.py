@@ -12,8 +12,8 @@ lose less, as copies are linked through each other. A test compares groups to th
 
 All pairs of a bucket aren't made. In each of a few rounds a bucket has a centre, and a set is
 compared to one centre of its buckets in each of TRIES groups of bands, so a round has at most TRIES
-pairs a set. First the member of least hash is centre. Then, in buckets whose members are still in
-several components, each set's own shingles are counted, those that no other set there has: the
+pairs a set. Of buckets with the same members one is enough. First the member of least hash is centre.
+Then, where a centre is in another component than a set, each set's own shingles are counted, those that no other set there has: the
 member with fewest, which is likest to the others, is centre, and sets whose own shingles alone
 rule out a link aren't compared at all. What is still in different components of a bucket after
 ROUNDS is compared by parities, bits of which each differing shingle turns one, so that as many bits
@@ -189,16 +189,27 @@ def _few_each(turn: int, pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("fp", _group().alias("of")).agg(F.min_by("c", order).alias("c")).where("c <> fp")
 
 
-def _split(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, fp, root and other columns of buckets whose members are in several components."""
-    rooted = shared.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return written(rooted.join(written(several, "several"), "key"), "split")
+def _members() -> list[Column]:
+    """How many members a bucket has, and a 128-bit digest of them."""
+    return [F.count("*").alias("held"), F.bit_xor(F.xxhash64("fp")).alias("d1"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("d2")]
+
+
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets with the roots of their sets' components."""
+    return shared.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _split(shared: DataFrame, roots: DataFrame, *by: Column) -> DataFrame:
+    """key, fp, root and other columns of buckets whose members are in several components. Of buckets
+    with the same members (and the same ``by``), which make the same pairs, one is enough."""
+    rooted = written(_rooted(shared, roots), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *_members()).where("low < high")
+    several = several.groupBy("held", "d1", "d2", *by).agg(F.min("key").alias("key")).select("key")
+    return written(rooted.join(written(several, "several"), "key", "left_semi"), "split")
 
 
 def _with_own(shared: DataFrame, base: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Rows of split buckets with n, bits, odd and own: how many shingles no other set of these rows has.
+    """Rows of buckets with n, bits, odd and own: how many shingles no other set of these rows has.
     Sets that so many rule out (similarity at most that of all others to all) leave."""
     uids = written(classes.join(shared.select("fp").distinct(), "fp", "left_semi").select("uid"), "asked")
     sets = texts_of(base).join(uids, "uid", "left_semi").mapInArrow(_sets, "fp long, shingles array<long>")
@@ -212,13 +223,15 @@ def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: Dat
     """(fp, root) of all linked sets of rows (key, fp)."""
     # lists to join with are written first, so that adaptive execution can split a hot bucket's rows
     rows = rows.withColumn("own", F.lit(0).cast("long"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("held"), _centre(0).alias("c")).where("held > 1").select("key", "c", F.lit(0).alias("co"))
+    buckets = rows.groupBy("key").agg(_centre(0).alias("c"), *_members()).where("held > 1")
+    # a bucket's centre follows from its members and the group of its band
+    buckets = buckets.groupBy("held", "d1", "d2", _group().alias("of")).agg(F.min_by("c", "key").alias("c"), F.min("key").alias("key")).select("key", "c", F.lit(0).alias("co"))
     shared = written(rows.join(written(buckets, "centres"), "key"), "shared")
     links = _verified(_ordered("c", "fp", _few_each(0, shared)), base, classes, prints)
     roots = components(links).select(F.col("node").alias("fp"), "root")
-    shared = _with_own(_split(shared.select("key", "fp"), roots), base, classes, prints)
+    shared = _with_own(_rooted(shared.select("key", "fp"), roots), base, classes, prints)
     for turn in range(1, ROUNDS):
-        shared = shared if turn == 1 else _split(shared, roots)
+        shared = shared if turn == 1 else _split(shared, roots, _group().alias("of"))
         centres = written(shared.groupBy("key").agg(_centre(turn).alias("c"), _centre(turn, "root").alias("cr"), F.min("own").alias("co")), "centres")
         pairs = shared.join(centres, "key").where("cr <> root")
         links = links.union(_verified(_ordered("c", "fp", _few_each(turn, pairs)), base, classes, prints))
@@ -230,7 +243,8 @@ def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: Dat
     total = F.col("x.n") + F.col("y.n")
     near &= (9 * F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own")) >= 4 * total) & (9 * (F.col("x.own") + F.col("y.own")) <= total)
     near &= 9 * _fewest_differing(F.col("x.odd"), F.col("y.odd")) <= total
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    # files hold a set's columns once for many of its rows, so their size says little of what a broadcast takes
+    pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     links = links.union(_verified(_ordered("a", "b", pairs), base, classes, prints))
     return components(links).select(F.col("node").alias("fp"), "root")
 

@@ -256,6 +256,14 @@ def test_near_copies_of_one_large_group_and_repeated_rows(spark):
     assert got == Counter({(i, 0): 1 + (i == 3) for i in range(150)}) + Counter([(None, 0), (500, 500), (501, 500)])
 
 
+def test_buckets_of_the_same_members_are_split_once(spark):
+    rows = [(key, fp) for key, members in ((16, (1, 2, 3)), (32, (1, 2, 3)), (17, (1, 2, 3)), (48, (1, 2)), (64, (2, 3)), (80, (5, 6))) for fp in members]
+    shared, roots = spark.createDataFrame(rows, "key long, fp long"), spark.createDataFrame([(2, 2), (3, 2)], "fp long, root long")
+    kept = lambda *by: Counter((x.key, x.fp) for x in near_copies._split(shared, roots, *by).select("key", "fp").collect())
+    assert kept() == Counter(r for r in rows if r[0] in (16, 48, 80))
+    assert kept(near_copies._group().alias("of")) == Counter(r for r in rows if r[0] in (16, 17, 48, 80))
+
+
 def test_parities_never_differ_more_than_sets(spark):
     r = np.random.default_rng(3)
     rows = []
