@@ -13,9 +13,9 @@ lose less, as copies are linked through each other. A test compares groups to th
 All pairs of a bucket aren't made. In each of a few rounds a bucket has a centre, and a set is
 compared to one centre of its buckets in each of TRIES groups of bands, so a round has at most TRIES
 pairs a set. Of buckets with the same members one is enough. First the member of least hash is centre.
-Then, where a centre is in another component than a set, each set's own shingles are counted, those that no other set there has: the
-member with fewest, which is likest to the others, is centre, and sets whose own shingles alone
-rule out a link aren't compared at all. What is still in different components of a bucket after
+Then each set's own shingles are counted, those that no other set of a bucket has: the member with
+fewest, which is likest to the others, is centre, sets of its component aren't compared to it, and
+sets whose own shingles alone rule out a link aren't compared at all. What is still in different components of a bucket after
 ROUNDS is compared by parities, bits of which each differing shingle turns one, so that as many bits
 as differ, at least as many shingles do. Only pairs that this doesn't rule out are made and verified;
 no link is lost. Pairs within a component change nothing.
