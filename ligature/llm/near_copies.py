@@ -34,7 +34,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligature.llm.common import LOWER_SPACED, numbered, sliced, splitmix, texts_of, written
@@ -219,10 +219,18 @@ def _with_own(shared: DataFrame, base: DataFrame, classes: DataFrame, prints: Da
     return written(shared.drop("own").join(facts, "fp"), "facts")
 
 
+def _together(rows: DataFrame) -> DataFrame:
+    """Rows (key, fp) of buckets with several members, by one shuffle of the rows: most keys have one set,
+    and what is asked of buckets later isn't sent for those. A bucket's rows meet in one task, 16 bytes each
+    and spilled if many; a task has 96 rows of a set, so that a bucket stands out only with a large part of all sets."""
+    held = F.count("*").over(Window.partitionBy("key"))
+    return written(rows.withColumn("held", held).where("held > 1").select("key", "fp"), "together")
+
+
 def _all_links(rows: DataFrame, base: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
     """(fp, root) of all linked sets of rows (key, fp)."""
     # lists to join with are written first, so that adaptive execution can split a hot bucket's rows
-    rows = rows.withColumn("own", F.lit(0).cast("long"))
+    rows = _together(rows).withColumn("own", F.lit(0).cast("long"))
     buckets = rows.groupBy("key").agg(_centre(0).alias("c"), *_members()).where("held > 1")
     # a bucket's centre follows from its members and the group of its band
     buckets = buckets.groupBy("held", "d1", "d2", _group().alias("of")).agg(F.min_by("c", "key").alias("c"), F.min("key").alias("key")).select("key", "c", F.lit(0).alias("co"))

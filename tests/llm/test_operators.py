@@ -264,6 +264,19 @@ def test_buckets_of_the_same_members_are_split_once(spark):
     assert kept(near_copies._group().alias("of")) == Counter(r for r in rows if r[0] in (16, 17, 48, 80))
 
 
+def test_keys_of_one_set_send_only_their_rows(spark):
+    def sent():
+        held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    r = random.Random(4)
+    docs = common.written(spark.createDataFrame([(i, " ".join(r.choices(WORDS, k=80))) for i in range(1000)], "doc_id long, text string"), "docs")
+    before = sent()
+    assert near_copies.near_groups(docs).where("component_id = doc_id").count() == 1000
+    # a key and a set are 16 bytes
+    assert sent() - before < 1000 * len(near_copies.BANDS) * near_copies.PROBES * 32
+
+
 def test_parities_never_differ_more_than_sets(spark):
     r = np.random.default_rng(3)
     rows = []
