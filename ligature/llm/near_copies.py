@@ -220,9 +220,9 @@ def _with_own(shared: DataFrame, base: DataFrame, classes: DataFrame, prints: Da
 
 
 def _together(rows: DataFrame) -> DataFrame:
-    """Rows (key, fp) of buckets with several members, by one shuffle of the rows: most keys have one set,
-    and what is asked of buckets later isn't sent for those. A bucket's rows meet in one task, 16 bytes each
-    and spilled if many; a task has 96 rows of a set, so that a bucket stands out only with a large part of all sets."""
+    """Rows (key, fp) of buckets with several members, by one shuffle of all rows: most keys have one set,
+    and what is asked of buckets later isn't sent for those. A bucket's rows meet in one task, spilled if
+    many; as each set has a row for each of its keys, a bucket stands out only with a large part of all sets."""
     held = F.count("*").over(Window.partitionBy("key"))
     return written(rows.withColumn("held", held).where("held > 1").select("key", "fp"), "together")
 
