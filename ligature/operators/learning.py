@@ -30,8 +30,10 @@ def random_negatives(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` pairs that are no edge: hashed draws over the numbered nodes, twice as many as asked."""
     nodes = both_ways(edges).groupBy(F.col("u").alias("node")).count()
     total = nodes.count()
-    numbered = nodes.select("node").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF(["node", "place"])
-    draws = edges.sparkSession.range(2 * n + 10).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(total)).alias("j"))
+    kind = nodes.schema["node"].dataType.simpleString()
+    numbered = nodes.select("node").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF(f"node {kind}, place long")
+    place = lambda k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(max(total, 1)))
+    draws = edges.sparkSession.range(2 * n + 10).select("id", place(0).alias("i"), place(1).alias("j"))
     pairs = draws.join(numbered.select(F.col("node").alias("a"), F.col("place").alias("i")), "i").join(numbered.select(F.col("node").alias("b"), F.col("place").alias("j")), "j")
     pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("id").alias("id"))
     return pairs.join(edges.select("u", "v"), ["u", "v"], "left_anti").orderBy("id").limit(n).select("u", "v")
@@ -72,31 +74,38 @@ def combined_negatives(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def train(features: DataFrame):
-    """Logistic regression over (features array<double>, y), classes weighted to balance."""
+    """Logistic regression over (features array<double>, y), classes weighted to balance; None without rows."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    share = features.agg(F.avg("y")).first()[0] or 0.5
+    share = features.agg(F.avg("y")).first()[0]
+    if share is None:
+        return None
+    share = share or 0.5
     weight = F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / max(1 - share, 1e-9))
     return LogisticRegression(labelCol="y", weightCol="w", maxIter=100).fit(features.select(array_to_vector("features").alias("features"), F.col("y").cast("double").alias("y"), weight.alias("w")))
 
 
 def predict(model, features: DataFrame) -> DataFrame:
+    """``features`` with the model's score; null where there was nothing to train it on."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if model is None:
+        return features.withColumn("score", F.lit(None).cast("double")).drop("features")
     rows = features.withColumn("features", array_to_vector("features"))
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
-    """ROC-AUC of (score, y) from the rank sum, ties at their mean rank; one row per group-free input."""
+    """ROC-AUC of (score, y) from the rank sum, ties at their mean rank; one row
+    per group-free input, null where a class has no rows."""
     tied = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     from pyspark.sql import Window
 
     below = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
     ranked = tied.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
-    return ranked.agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+    return ranked.agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2, p * n).alias("auc"))
 
 
 def _init(nodes: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -202,10 +211,11 @@ def pair_features(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """Average precision of (score, y), equal scores counting together; one row."""
+    """Average precision of (score, y), equal scores counting together; one row, null
+    where no y is 1."""
     from pyspark.sql import Window
 
     tied = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     seen = tied.select("pos", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("rows"))
-    return seen.agg((F.sum(F.col("pos") * F.col("tp") / F.col("rows")) / F.sum("pos")).alias("ap"))
+    return seen.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("rows")), F.sum("pos")).alias("ap"))

@@ -10,6 +10,7 @@ import pytest
 from ligature.functions import names
 from ligature.functions.vocabularies import SYNONYMS
 from ligature.operators import build, graph, learning
+from ligature.plans import frames
 from ligature.plans.dialect import Spark
 from ligature.sources import readers
 
@@ -204,3 +205,19 @@ def test_vectors_of_nodes_are_trained_in_shards(spark, monkeypatch, shard):
     same = [v[a] @ v[b] for a in v for b in v if a < b and a // 10 == b // 10]
     other = [v[a] @ v[b] for a in v for b in v if a < b and a // 10 != b // 10]
     assert np.mean(same) > np.mean(other) + 0.3
+
+
+def test_measures_without_a_class_are_null(spark):
+    for rows in ([(0.9, 0), (0.2, 0)], [(0.9, 1)], []):
+        scored = spark.createDataFrame(rows, "score double, y int")
+        assert learning.roc_auc(scored).first()[0] is None
+        assert (learning.average_precision(scored).first()[0] is None) == (not any(y for _, y in rows))
+
+
+@pytest.mark.parametrize("pairs", [60, 0])
+def test_link_prediction_where_no_held_out_edge_has_known_nodes(spark, tmp_path, pairs):
+    # every edge stands alone, so the ends of held-out ones are in no walk; or there are no edges
+    lines = [(2 * i + o, 2 * i + p) for i in range(pairs) for o in (0, 1) for p in (0, 1)] or [(1, 1), (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.strategy: (r.auc, r.ap) for r in frames.node2vec_link_prediction(spark, str(tmp_path), length=3, per_node=1).collect()}
+    assert got == dict.fromkeys(("random", "two_hop", "degree", "combined"), (None, None))
