@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligature.functions.names import canonical_name, extracted_type, lookup_key
+from ligature.session import materialized
 
 KEY = ("source", "target", "relation_type")
 EVIDENCE = "struct<source_type: string, source_id: string, confidence: double, text_snippet: string>"
@@ -68,22 +69,27 @@ def live_graph(annotations: DataFrame, interactions: DataFrame, literature: Data
 
     Annotated entities under their canonical names, of the type annotated last, occur together where
     they share a document, in the order of their names; interacting ones are proteins; entities that
-    only the literature has take the type of an annotation written alike, as do those left unknown."""
-    named = annotations.where("entity_text <> ''").withColumn("id", canonical_name(F.col("entity_text")))
-    types = _types(annotations)
-    last = named.groupBy("id").agg(F.max_by(F.lower(F.coalesce("entity_type", F.lit("unknown"))), "seq").alias("noted"))
+    only the literature has take the type of an annotation written alike, as do those left unknown.
+
+    What entities need is first reduced to one row per way of writing, by plain maxima and minima, and
+    written, so that neither names nor types are looked up per row of the inputs."""
+    named = annotations.where("entity_text <> ''")
+    kinds = materialized(named.groupBy("entity_text", F.lower(F.coalesce("entity_type", F.lit("unknown"))).alias("entity_type")).agg(F.max("seq").alias("seq")), "kinds")
+    types = _types(kinds)
+    last = kinds.groupBy(canonical_name(F.col("entity_text")).alias("id")).agg(F.max_by("entity_type", "seq").alias("noted"))
     pairs = interactions.where("a <> '' and b <> ''")
-    proteins = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("protein", F.lit(True))
-    told = literature.where("entity1 <> '' and entity2 <> ''").withColumns({"source": canonical_name(F.col("entity1")), "target": canonical_name(F.col("entity2"))})
-    raw = told.select(F.col("source").alias("id"), F.col("entity1").alias("raw"), "seq").union(told.select("target", "entity2", "seq"))
-    raw = raw.groupBy("id").agg(F.min_by("raw", "seq").alias("raw"))
+    proteins = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("protein", F.lit(True))
+    told = literature.where("entity1 <> '' and entity2 <> ''")
+    raw = told.select("seq", F.explode(F.array("entity1", "entity2")).alias("raw")).groupBy("raw").agg(F.min("seq").alias("seq"))
+    raw = materialized(raw.groupBy(canonical_name(F.col("raw")).alias("id")).agg(F.min_by("raw", "seq").alias("raw")), "raw")
     read = _first_type(raw, types, [F.col("id"), F.col("raw"), F.lower("raw"), lookup_key(F.col("raw"))]).select("id", F.coalesce("found", F.lit("unknown")).alias("read"))
     both = last.join(proteins, "id", "full_outer").join(read, "id", "full_outer")
-    first = both.select("id", F.when(F.col("protein"), "protein").otherwise(F.coalesce("noted", "read")).alias("type"))
+    first = materialized(both.select("id", F.when(F.col("protein"), "protein").otherwise(F.coalesce("noted", "read")).alias("type")), "first")
     found = _first_type(first, types, [lookup_key(F.col("id")), F.col("id"), F.lower("id"), F.upper("id")])
     entities = found.select("id", F.when(F.col("type").isin("unknown", ""), F.coalesce("found", "type")).otherwise(F.col("type")).alias("type"), F.col("id").alias("name"))
 
-    held = named.select("pmid", "id").distinct()
+    held = named.select("pmid", canonical_name(F.col("entity_text")).alias("id")).distinct()
+    told = told.withColumns({"source": canonical_name(F.col("entity1")), "target": canonical_name(F.col("entity2"))})
     together = held.join(held.withColumnRenamed("id", "other"), "pmid").where("id < other")
     none = F.lit(None).cast("double").alias("ml_score")
     order = lambda step, seq: F.struct(F.lit(step).alias("step"), F.col(seq).cast("long").alias("at")).alias("seq")

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ligature.operators import build, fusion, graph, learning, text
 from ligature.plans.dialect import Duck, Spark
 from ligature.plans.relational import placed, views_for
-from ligature.session import materialized, table
-from ligature.sources.views import chain
+from ligature.session import materialized, materialized_path, table
+from ligature.sources.views import VIEWS, chain
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, str] | None = None) -> DataFrame:
+    """A view's rows; ``given`` has the text of views that are stated in another way here."""
     body = f"select * from {name}"
-    return spark.sql(placed(chain(body, views_for(spark, sf_dir, body)), Spark(), lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+    views = VIEWS | given if given else views_for(spark, sf_dir, body)
+    return spark.sql(placed(chain(body, views), Spark(), lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
 
 
 def duck(body: str) -> str:
@@ -225,13 +227,24 @@ def betweenness_directed(spark, sf_dir):
     return graph.betweenness_directed(edges(spark, sf_dir)).select("node", F.round("betweenness", 9).alias("betweenness"))
 
 
+def _shared_orders(spark, sf_dir) -> str:
+    """The view shared_orders over a written table: pairs are counted and kept by the suppliers' numbers,
+    and orders are dealt out once."""
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).join(known, "s", "left_semi")
+    held = lines.repartition("o").distinct()
+    path = materialized_path(held.join(held.withColumnRenamed("s", "t"), "o").where("s < t").groupBy("s", "t").agg(F.count("*").alias("n")), "shared_orders")
+    return f"select least('S' || s, 'S' || t) as a, greatest('S' || s, 'S' || t) as b, n from parquet.`{path}`"
+
+
 def _live(spark, sf_dir):
     """The live graph's inputs: annotated names with synonyms among them, interactions, and literature
     that writes names in other ways."""
     a = view(spark, sf_dir, "annotations").withColumn("entity_text", F.expr("case entity_id when 'S1' then 'OX-1R' when 'S2' then 'orexin receptor 1' when 'S3' then 'abeta' else entity_id end")).withColumn("entity_type", F.expr("case when entity_id in ('S4', 'S5') then 'unknown' else entity_type end"))
     a = a.select("pmid", "entity_text", "entity_type", (F.col("pmid") * 10_000_000_000 + F.col("seq")).alias("seq"))
-    i = view(spark, sf_dir, "interactions").where("score >= 0.6").selectExpr("a", "b", "round(score, 6) as score", "cast(substr(a, 2) as bigint) * 1000000 + cast(substr(b, 2) as bigint) as seq")
-    p = materialized(view(spark, sf_dir, "pairs"), "pairs").where("n_ab % 4 = 1")
+    given = {"shared_orders": _shared_orders(spark, sf_dir)}
+    i = view(spark, sf_dir, "interactions", given).where("score >= 0.6").selectExpr("a", "b", "round(score, 6) as score", "cast(substr(a, 2) as bigint) * 1000000 + cast(substr(b, 2) as bigint) as seq")
+    p = view(spark, sf_dir, "pairs", given).where("n_ab % 4 = 1")
     l = p.selectExpr("lower(a) as entity1", "case when n_ab % 8 = 1 then 'Amyloid-Beta' else b end as entity2", "case n_ab % 3 when 0 then 'Activates' when 1 then 'binds' else 'regulates' end as relationship", "case when n_ab % 8 = 5 then 0.7D end as confidence", "n_ab as pmid", "a || b as evidence_text", "cast(substr(a, 2) as bigint) * 1000000 + cast(substr(b, 2) as bigint) as seq")
     return build.live_graph(a, i, l)
 

@@ -221,3 +221,10 @@ def test_link_prediction_where_no_held_out_edge_has_known_nodes(spark, tmp_path,
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.strategy: (r.auc, r.ap) for r in frames.node2vec_link_prediction(spark, str(tmp_path), length=3, per_node=1).collect()}
     assert got == dict.fromkeys(("random", "two_hop", "degree", "combined"), (None, None))
+
+
+def test_entities_of_the_live_graph_are_read_from_what_was_reduced_once(spark):
+    # neither orders nor pairs of suppliers are in the plan, so none is evaluated several times
+    found = frames.live_graph_entities(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" not in plan and "n_ab" not in plan and found.count() == 16
