@@ -305,11 +305,27 @@ def node2vec_link_prediction(spark, sf_dir, p: float = 1.0, q: float = 1.0, leng
     return out
 
 
+def candidate_nonedges(spark, sf_dir, block: int = 2048):
+    """Pairs of seeds without a relation. Seeds go in blocks of about ``block``; a task pairs the seeds of
+    two blocks, and each carries the seeds it is related to, so that pairs never shuffle."""
+    seeds = view(spark, sf_dir, "seeds")
+    given = {"bought": "select distinct l_orderkey as o, l_partkey as p from {lineitem} where l_partkey % 50 = 0 and l_partkey in (select p_partkey from {part} where p_partkey % 50 = 0)"}
+    r = materialized(view(spark, sf_dir, "relations", given).select("source", "target"), "relations")
+    related = r.union(r.select("target", "source")).groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("related"))
+    seeds = materialized(seeds.join(related, "id", "left"), "seeds")
+    blocks = max(1, -(-seeds.count() // block))
+    own, cells = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), blocks * (blocks + 1) // 2
+    a = seeds.select("related", F.col("id").alias("a"), own.alias("x")).withColumn("y", F.explode(F.sequence("x", F.lit(blocks - 1)))).repartition(cells, "x", "y")
+    b = seeds.select(F.col("id").alias("b"), own.alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), "y"))).repartition(cells, "x", "y")
+    pairs = a.join(b.hint("shuffle_hash"), ["x", "y"]).where("(x < y or a < b) and not coalesce(array_contains(related, b), false)")
+    return pairs.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"))
+
+
 def negatives(f):
     return lambda spark, sf_dir: f(edges(spark, sf_dir), 1000)
 
 
-QUERIES = {f.__name__: f for f in (edge_fusion, flagship_fused_pairs, pagerank_k10, connected_components, shortest_path, closeness, betweenness, communities, simple_paths_cutoff, annotate_path, node2vec_walks, lr_train_score, predict_pairs, eval_strategies, hypothesis_record, sentence_split, sentence_number, greedy_chunks, provenance_indexed, evidence_from_indices, evidence_fuzzy, prompt_assembly, pagerank, closeness_inward, betweenness_directed, live_graph_relations, live_graph_entities, component_delta, node2vec_link_prediction)}
+QUERIES = {f.__name__: f for f in (edge_fusion, flagship_fused_pairs, pagerank_k10, connected_components, shortest_path, closeness, betweenness, communities, simple_paths_cutoff, annotate_path, node2vec_walks, lr_train_score, predict_pairs, eval_strategies, hypothesis_record, sentence_split, sentence_number, greedy_chunks, provenance_indexed, evidence_from_indices, evidence_fuzzy, prompt_assembly, pagerank, closeness_inward, betweenness_directed, live_graph_relations, live_graph_entities, component_delta, node2vec_link_prediction, candidate_nonedges)}
 QUERIES |= {"neg_random": negatives(learning.random_negatives), "neg_two_hop": negatives(learning.two_hop_negatives), "neg_degree_matched": negatives(learning.degree_matched_negatives), "neg_combined": negatives(learning.combined_negatives)}
 
 

@@ -10,7 +10,7 @@ import pytest
 from ligature.functions import names
 from ligature.functions.vocabularies import SYNONYMS
 from ligature.operators import build, graph, learning
-from ligature.plans import frames
+from ligature.plans import catalog, frames
 from ligature.plans.dialect import Spark
 from ligature.sources import readers
 
@@ -228,3 +228,17 @@ def test_entities_of_the_live_graph_are_read_from_what_was_reduced_once(spark):
     found = frames.live_graph_entities(spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "l_suppkey" not in plan and "n_ab" not in plan and found.count() == 16
+
+
+def test_pairs_of_seeds_without_a_relation(spark, tmp_path):
+    lines = [(o, p) for o in (1, 2) for p in (50, 200, 300, 7)] + [(3, 100), (3, 150), (4, 400), (5, 400), (4, 900), (5, 900)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in [*range(0, 801), 50]], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    seeds = [f"P{p}" for p in [*range(0, 801, 50), 50]]
+    want = sorted((a, b) for a in seeds for b in seeds if a < b and not {a, b} <= {"P50", "P200", "P300"})
+    for block in (2048, 3):
+        found = frames.candidate_nonedges(spark, str(tmp_path), block)
+        assert sorted(map(tuple, found.collect())) == want
+    # pairs are made by an equal join of blocks, with nothing dealt out above it
+    plan = catalog.QUERIES["candidate_nonedges"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.index("HashJoin") < plan.index("Exchange")
